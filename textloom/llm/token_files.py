@@ -15,6 +15,7 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from functools import cache, partial
 from itertools import chain
 
@@ -30,7 +31,7 @@ from textloom.llm.mph import MinimalPerfectHash
 
 MAGIC = b"TLIDS\0\0\1"
 SHARD_IDS = 16 << 20
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 800_000
 
 
 # -- the file format
@@ -134,6 +135,8 @@ class WordPieces:
         self.tokenizer.encode_special_tokens = True
         self.width = width
         self.cut = self._cut()
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -144,28 +147,73 @@ class WordPieces:
         assumed = all(x in says for x in ('"NFC"', '"Lowercase"', '"Removed"', "'ll|'d|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+"))
         return regex.compile(PIECE) if assumed else None
 
-    plain = regex.compile("[\x21-\x7e\xa1-į]*")
+    # no white space, no combining marks, and letters whose lower case is one letter by any rule
+    _latin = regex.compile("[\x21-\x7e\xa1-į]*")
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+    def _words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that are one word each: many in one text, cut behind the tokens that end a word."""
+        out = []
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, f"<u{self.width}")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(part):
+                out += self._raw(part)
+                continue
+            raw, at = ids.tobytes(), [0, *(ends * self.width).tolist()]
+            out += [raw[a:b] for a, b in zip(at, at[1:])]
+        return out
+
+    def _resolve(self, new: set[str]) -> None:
+        """Put the ids of chunks that are not known yet into the memo."""
         chunks, pieces = self.chunks, self.pieces
         if len(chunks) > MEMO_ENTRIES:
             chunks.clear()
         if len(pieces) > MEMO_ENTRIES:
             pieces.clear()
-        if new := set(chain.from_iterable(split)) - chunks.keys():
-            simple = [c for c in new if self.plain.fullmatch(c)] if self.cut else []
-            cut = [self.cut.findall(c.lower()) for c in simple]
-            fresh = [*(set(chain.from_iterable(cut)) - pieces.keys())]
-            pieces.update(zip(fresh, self._raw(fresh), strict=True))
-            for c, parts in zip(simple, cut, strict=True):
-                chunks[c] = b"".join(map(pieces.__getitem__, parts))
-            rest = [*new.difference(simple)]
-            chunks.update(zip(rest, self._raw(rest), strict=True))
-        return [b"".join(map(chunks.__getitem__, s)) for s in split]
+        words, signed, cut, rest = [], [], [], []
+        for c in new:
+            if not self.cut or not ((c.isascii() and c.isprintable()) or self._latin.fullmatch(c)):
+                rest.append(c)
+            elif c.isalpha():
+                words.append((c, c.lower()))
+            elif c[:-1].isalpha() and c[-1] in ".,;:!?":  # letters and one sign
+                signed.append((c, c[:-1].lower(), c[-1]))
+            else:
+                cut.append((c, self.cut.findall(c.lower())))
+        need = {w for _, w in words}
+        need.update(x[1] for x in signed)
+        need.update(x[2] for x in signed)
+        need.update(chain.from_iterable(x[1] for x in cut))
+        fresh = [*(need - pieces.keys())]
+        pieces.update(zip(fresh, self._words(fresh), strict=True))
+        for c, w in words:
+            chunks[c] = pieces[w]
+        for c, w, sign in signed:
+            chunks[c] = pieces[w] + pieces[sign]
+        for c, parts in cut:
+            chunks[c] = b"".join(map(pieces.__getitem__, parts))
+        chunks.update(zip(rest, self._raw(rest), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        flat, ends = [], [0]
+        for t in texts:
+            flat += t.replace("\n", " ").split(" ")
+            ends.append(len(flat))
+        found = [*map(self.chunks.get, flat)]
+        holes, i = [], -1
+        with suppress(ValueError):  # from index(), after the last one
+            while True:
+                i = found.index(None, i + 1)
+                holes.append(i)
+        if holes:
+            self._resolve({flat[i] for i in holes})
+            for i in holes:
+                found[i] = self.chunks[flat[i]]
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 @cache
