@@ -6,9 +6,12 @@ of long texts costs the same memory as any other.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +56,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most `limit` bytes of `column`, or one row."""
+    """Slices of the batches with at most `limit` bytes of `column`, or one row. Frees the worker's spare memory at the end."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +66,15 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    free()
+
+
+def free() -> None:
+    """Give memory that Python workers no longer use back to the machine: idle workers stay, and their memory is an executor's."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, mix, prefix_sums, span_hashes, utf8, written
+from textloom.llm.common import blocks, free, mix, prefix_sums, span_hashes, utf8, written
 from textloom.llm.components import connected
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 _LOWER = np.frombuffer(LOWER, np.uint8)
 SKETCH_BITS, SKETCH_PARTS = 21, 32
 SMALL = 64
-BITMAP = 512
-_BITS = [f"bits{i}" for i in range(BITMAP // 64)]
+STAR_ROUNDS = 2
+MIN_BITS = 8
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
         found.append(joined(firsts[short], width))
         text.append(short)
     found, text = np.concatenate(found), np.concatenate(text)
-    order = np.lexsort((found, text))
+    order = np.argsort(found)
+    narrow = text[order].astype(np.uint16 if count < 1 << 16 else np.int64)  # 16 bits are sorted by radix
+    order = order[np.argsort(narrow, kind="stable")]
     found, text = found[order], text[order]
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
@@ -82,13 +84,18 @@ def digests(text: np.ndarray, found: np.ndarray, count: int) -> np.ndarray:
     return mix(a ^ mix(b + np.uint64(7)))
 
 
-def bitmaps(text: np.ndarray, found: np.ndarray, count: int) -> np.ndarray:
-    """Parity of each text's shingles over BITMAP bits, as 64-bit words."""
-    bits = np.bincount(text * BITMAP + (found >> np.uint64(64 - 9)).astype(np.int64), minlength=count * BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(count, BITMAP), axis=1).view(np.int64)
+def bitmaps(text: np.ndarray, found: np.ndarray, count: int) -> pa.Array:
+    """Parity of each text's shingles over as many bits as it has shingles, rounded up to a power of two, in 64-bit words. A bitmap of half the length is the exclusive or of its halves."""
+    sizes = np.bincount(text, minlength=count)
+    bits = 1 << np.maximum(MIN_BITS, np.ceil(np.log2(np.maximum(1, sizes))).astype(np.int64))
+    ends = np.cumsum(bits)
+    at = (ends - bits)[text] + (found & (bits[text] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(ends[-1]) if count else 0) & 1
+    words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends // 64]), pa.int32()), pa.array(words))
 
 
-_SURVEY = {"doc_id": pa.int64(), "row_key": pa.int64(), "n_shingles": pa.int64(), "node": pa.int64(), **dict.fromkeys(_BITS, pa.int64()), "part": pa.int32(), "counts": pa.binary()}
+_SURVEY = {"doc_id": pa.int64(), "row_key": pa.int64(), "n_shingles": pa.int64(), "node": pa.int64(), "bits": pa.list_(pa.int64()), "part": pa.int32(), "counts": pa.binary()}
 
 
 def _survey(n: int):
@@ -96,7 +103,7 @@ def _survey(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             count = batch.num_rows
             text, found = shingles(*utf8(batch.column("text")), n)
             names, sizes = digests(text, found, count), np.bincount(text, minlength=count)
@@ -107,7 +114,7 @@ def _survey(n: int):
             counters += np.bincount(at, minlength=1 << SKETCH_BITS).astype(np.uint32)
             bits = bitmaps(text, found, count)
             nulls = pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names.view(np.int64), mask=sizes == 0), *(pa.array(bits[:, i]) for i in range(len(_BITS))), *nulls], names=[*_SURVEY])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names.view(np.int64), mask=sizes == 0), bits, *nulls], names=[*_SURVEY])
         raw = np.minimum(counters, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
         last = {"part": pa.array(np.arange(SKETCH_PARTS), pa.int32()), "counts": pa.array([x.tobytes() for x in raw], pa.binary())}
         yield pa.RecordBatch.from_arrays([last.get(k, pa.nulls(SKETCH_PARTS, t)) for k, t in _SURVEY.items()], names=[*_SURVEY])
@@ -179,40 +186,71 @@ def signatures(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> t
     return np.concatenate(keys), np.concatenate(places)
 
 
-_INDEX = {"key": pa.int64(), "node": pa.int64(), "n": pa.int32(), "place": pa.int32()}
+PLACE_BITS = 8
 
 
 def _index(shared, n: int, num: int, den: int):
+    """(key, node): the low bits of a key are the place of its first shingle, as far as they hold it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(shared.value).astype(bool)
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             text, found = shingles(*utf8(batch.column("text")), n)
             names = digests(text, found, batch.num_rows)
             frequent = often[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             ends = np.cumsum(np.bincount(text, minlength=batch.num_rows))
-            seen, out = set(), []
+            seen, out, sizes = set(), [], []
             for i, b in enumerate(ends.tolist()):
                 a = int(ends[i - 1]) if i else 0
                 if a == b or names[i] in seen:
                     continue
                 seen.add(names[i])
                 keys, places = signatures(found[a:b], frequent[a:b], num, den)
-                out.append((keys, places, np.full(len(keys), names[i]), np.full(len(keys), b - a)))
+                low = np.uint64((1 << PLACE_BITS) - 1)
+                out.append((keys & ~low) | np.minimum(places, int(low)).astype(np.uint64))
+                sizes.append((names[i], len(keys)))
             if out:
-                keys, places, nodes, sizes = (np.concatenate(x) for x in zip(*out, strict=True))
-                for i in range(0, len(keys), 100_000):
-                    j = slice(i, i + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[j].view(np.int64)), pa.array(nodes[j].view(np.int64)), pa.array(sizes[j], pa.int32()), pa.array(places[j], pa.int32())], names=[*_INDEX])
+                keys, nodes = np.concatenate(out), np.repeat(*(np.array(x) for x in zip(*sizes, strict=True)))
+                for i in range(0, len(keys), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].view(np.int64)), pa.array(nodes[i : i + 50_000].view(np.int64))], names=["key", "node"])
 
     return run
 
 
+def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, leader) of the keys that more than one class has. A key's leader has the fewest rarer shingles."""
+    parts = [(b.column("key").to_numpy(), b.column("node").to_numpy()) for b in batches]
+    if not parts:
+        return
+    key, node = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, place = key >> PLACE_BITS, (key & ((1 << PLACE_BITS) - 1)).astype(np.uint8)
+    parts.clear()
+    order = np.argsort(key)
+    key = key[order]
+    alone = np.append(True, key[1:] != key[:-1]) & np.append(key[1:] != key[:-1], True)
+    key, order = key[~alone], order[~alone]
+    node, place = node[order], place[order]
+    order = np.lexsort((place, node, key))
+    key, node, place = key[order], node[order], place[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+    key, node, place = key[new], node[new], place[new]
+    order = np.lexsort((node, place, key))
+    key, node = key[order], node[order]
+    head = np.append(True, key[1:] != key[:-1])[: len(key)]
+    group = np.cumsum(head) - 1
+    leader, several = node[head][group], (np.bincount(group) > 1)[group] if len(key) else head
+    key, node, leader = key[several], node[several], leader[several]
+    for i in range(0, len(key), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (key, node, leader)], names=["key", "node", "leader"])
+    free()
+
+
 def _sets(shared, bits: int, n: int):
     """The sets of classes whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(shared.value, np.uint8)
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", 1 << 20):
             text, found = shingles(*utf8(batch.column("text")), n)
             names = digests(text, found, batch.num_rows)
             at = (names >> np.uint64(64 - bits)).astype(np.int64)
@@ -239,29 +277,30 @@ class Join:
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-        ddl = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+        ddl = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
         self.survey = written(self.docs.mapInArrow(_survey(n), ", ".join(f"{k} {ddl[t]}" for k, t in _SURVEY.items())), "jaccard-survey")
         self.rows = self.survey.where("part is null")
 
     def classes(self) -> DataFrame:
         """One row for each set: node, n and its bitmap."""
-        return self.rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), *(F.first(b).alias(b) for b in _BITS))
+        return self.rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"))
 
-    def index(self) -> tuple[DataFrame, DataFrame]:
-        """Index rows of keys that more than one class has, and the leaders of those keys."""
+    def index(self) -> DataFrame:
+        """(key, node, leader) of keys that more than one class has; all others end in the task that gets them."""
         shared = self.spark.sparkContext.broadcast(frequent_table(self.survey))
-        rows = self.docs.mapInArrow(_index(shared, self.n, self.num, self.den), "key long, node long, n int, place int")
-        rows = written(rows, "jaccard-index")
-        keys = rows.groupBy("key").agg(F.min(F.struct("place", "node", "n")).alias("leader"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-        both = rows.join(keys.select("key", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")), "key")
-        return written(both.select("key", "node", "n", "leader", "leader_n").distinct(), "jaccard-keys")
+        rows = self.docs.select("text").mapInArrow(_index(shared, self.n, self.num, self.den), "key long, node long")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return written(rows.repartition(parts, F.shiftright("key", PLACE_BITS)).mapInArrow(_lead, "key long, node long, leader long"), "jaccard-keys")
 
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return (F.least(a, b) * self.den) >= (F.greatest(a, b) * self.num)
 
     def may_link(self, a: str, b: str) -> Column:
         """False only for pairs whose sets differ too much: differing parity bits are a lower bound of the difference."""
-        differ = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in _BITS), F.lit(0))
+        half = lambda x: f"zip_with(slice({x}, 1, size({x}) div 2), slice({x}, 1 + size({x}) div 2, size({x}) div 2), (u, v) -> u ^ v)"
+        as_long_as = lambda x, y: f"CASE WHEN size({x}) > size({y}) THEN {half(x)} ELSE {x} END"
+        x, y = f"{a}.bits", f"{b}.bits"
+        differ = F.expr(f"aggregate(zip_with({as_long_as(x, y)}, {as_long_as(y, x)}, (u, v) -> bit_count(u ^ v)), 0, (total, k) -> total + k)")
         return self.sizes_fit(F.col(f"{a}.n"), F.col(f"{b}.n")) & (differ * (self.den + self.num) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (self.den - self.num))
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
@@ -277,32 +316,50 @@ class Join:
         sets = self.docs.mapInArrow(_sets(shared, bits, self.n), "node long, shingles array<long>")
         return written(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
-        sets = self.sets_of(pairs)
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         same = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("same"), (F.size("x") + F.size("y")).cast("long").alias("sizes"))
-        return same.where(F.col("same") * self.den >= (F.col("sizes") - F.col("same")) * self.num).select("a", "b")
+        return written(same.where(F.col("same") * self.den >= (F.col("sizes") - F.col("same")) * self.num).select("a", "b"), "jaccard-links")
 
     def components(self) -> DataFrame:
         """(node, label) of all classes that link with another."""
         keys = self.index()
         classes = written(self.classes(), "jaccard-classes")
-        about = lambda pairs: pairs.alias("p").join(classes.alias("s"), F.col("p.a") == F.col("s.node")).join(classes.alias("t"), F.col("p.b") == F.col("t.node")).where(self.may_link("s", "t")).select("a", "b")
-        led = keys.where(F.col("node") != F.col("leader")).where(self.sizes_fit(F.col("n"), F.col("leader_n"))).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        links = written(self.linked(written(about(led), "jaccard-led")), "jaccard-links")
-        labels = connected(links)
-        # what leaders have not settled: classes of one key in different components
+        led = keys.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
+        led = led.alias("p").join(classes.alias("s"), F.col("p.a") == F.col("s.node")).join(classes.alias("t"), F.col("p.b") == F.col("t.node")).where(self.may_link("s", "t"))
+        led = written(led.select("a", "b", "shared"), "jaccard-led")
+        sets = self.sets_of(led)
+        # each round holds every class against one leader, of those it shares most keys with, that it is not yet joined to
+        links = labels = None
+        left = led
+        for _ in range(STAR_ROUNDS):
+            tried = left.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+            found = self.linked(tried, sets)
+            links = found if links is None else links.unionByName(found)
+            labels = connected(links)
+            left = self.apart(left.join(tried, ["a", "b"], "left_anti"), labels)
+        # what leaders have not settled: pairs with a leader, and any two classes of one key, in different components; a key of two classes has no pair but that with its leader
         rows = keys.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        open_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2").select("key")
         rows = written(rows.join(open_keys, "key", "left_semi").join(classes, "node"), "jaccard-open")
         s, t = rows.alias("s"), rows.alias("t")
         crossing = s.join(t, (F.col("s.key") == F.col("t.key")) & (F.col("s.node") < F.col("t.node")) & (F.col("s.label") != F.col("t.label")) & self.may_link("s", "t"))
-        tried = written(led, "jaccard-tried")
-        rest = written(crossing.select(F.col("s.node").alias("a"), F.col("t.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-crossing")
+        crossing = crossing.select(F.col("s.node").alias("a"), F.col("t.node").alias("b"))
+        rest = written(crossing.unionByName(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "jaccard-crossing")
         if rest.isEmpty():
             return labels
-        return connected(links.unionByName(self.linked(rest)))
+        known = sets.select("node")
+        new = rest.join(known.withColumnRenamed("node", "a"), "a", "left_anti").select("a", F.col("a").alias("b")).unionByName(rest.join(known.withColumnRenamed("node", "b"), "b", "left_anti").select(F.col("b").alias("a"), "b"))
+        if not new.isEmpty():
+            sets = sets.unionByName(self.sets_of(new))
+        return connected(links.unionByName(self.linked(rest, sets)))
+
+    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs whose classes are in different components."""
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return written(both.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(*pairs.columns), "jaccard-left")
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
