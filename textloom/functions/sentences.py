@@ -31,7 +31,7 @@ def pieces(column: Column) -> Column:
 def sentences(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """(key, pos, sentence, start, end): offsets of the first place where a piece stands in its text."""
     out = docs.select(key, F.col(column).alias("_text"), F.posexplode(pieces(F.col(column))).alias("pos", "sentence"))
-    out = out.withColumn("start", F.when(F.length("sentence") == 0, 0).otherwise(F.when(F.expr("instr(_text, sentence)") > 0, F.expr("instr(_text, sentence) - 1"))))
+    out = out.withColumn("start", F.expr("CASE WHEN length(sentence) = 0 THEN 0 ELSE nullif(instr(_text, sentence), 0) - 1 END"))
     return out.select(key, F.col("pos").cast("long").alias("pos"), "sentence", F.col("start").cast("long").alias("start"), (F.col("start") + F.length("sentence")).cast("long").alias("end"))
 
 

@@ -9,8 +9,18 @@ from textloom.functions import chain, sentences
 from textloom.operators import mentions
 
 
+TEXTS, SMALL = ("documents", "pages"), 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a text table of under SMALL bytes a core over all cores: its files hold fewer row groups than that, and regular expressions cost far more than moving it. Larger tables stay as they are scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

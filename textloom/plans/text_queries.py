@@ -23,17 +23,16 @@ WIKI = (
 )
 
 
-def _wiki() -> tuple:
-    return F.concat(F.lit(WIKI[0]), "text", F.lit(WIKI[1])), f"{chain.literal(WIKI[0])} || text || {chain.literal(WIKI[1])}"
-
-
 def _chain(steps: list[chain.Step], source: str = "wiki", key: str = "doc_id"):
-    spark_form, sql_form = _wiki() if source == "wiki" else (F.col(source), source)
+    """A query that runs a chain over a column, or over wikitext made of whole document texts; Spark form and SQL."""
     name = "pages" if key == "page_id" else "documents"
-    return (
-        lambda spark, d: table(spark, d, name).select(key, chain.run(spark_form if source == "wiki" else F.col(source), steps).alias("cleaned")),
-        f"SELECT {key}, {chain.sql(sql_form, steps)} AS cleaned FROM {name}",
-    )
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        column = F.concat(F.lit(WIKI[0]), "text", F.lit(WIKI[1])) if source == "wiki" else F.col(source)
+        return table(spark, d, name).select(key, chain.run(column, steps).alias("cleaned"))
+
+    raw = f"{chain.literal(WIKI[0])} || text || {chain.literal(WIKI[1])}" if source == "wiki" else source
+    return query, f"SELECT {key}, {chain.sql(raw, steps)} AS cleaned FROM {name}"
 
 
 TITLE = r"(?is)<title>(.*?)</title>"
