@@ -5,8 +5,8 @@ blank and scanned once; word numbers lead back to offsets in the original text.
 
 Defined cases: a null or empty text, or one without words, has no words and no hits; an item without words has no
 window; items that share a window each count; rows that repeat an item_id count as one item; a null item_id is the
-item "null"; repeated documents each give a row; an empty benchmark hits nothing. Columns other than those named are
-ignored.
+item "null"; repeated documents each give a row; an empty benchmark hits nothing. Other columns are ignored by
+decontaminate() and kept by cleaned(), but for those named like a column that it adds.
 """
 
 from __future__ import annotations
@@ -146,6 +146,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int =
 
     Each shard's automaton scans a text while it is here, so all columns pass through one step.
     """
+    docs = docs.drop("contaminated", "clean")
     spark = docs.sparkSession
     made = [spark.sparkContext.broadcast(p) for p in shards(benchmark, SHARD_BYTES)]
     keep = docs.columns

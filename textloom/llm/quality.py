@@ -7,7 +7,7 @@ scoring needs one number for each feature.
 
 Defined cases: a null or empty text has no features and scores as the bias alone; labels that are neither 0 nor 1, and
 labels without a document, are not used; with no usable label, or only one class, every score is that class' share (0.5
-without any); repeated documents each give a row; other columns are kept.
+without any); repeated documents each give a row; other columns are kept, but for one named like the score.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns and the score of each whole text. The model's table is broadcast: 2 ** BUCKET_BITS numbers at any size."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,8 @@ Anchors that hold many rows are found from a sample of the documents that only d
 an anchor are spread by their own bytes in step 1 and cut by the anchor's offset in step 2.
 
 Defined cases: null text is empty; texts shorter than `length` are kept; repeated rows (of doc_id and text) repeat each
-other; a null doc_id is an id like others; an empty table gives no rows. All columns of the input are returned.
+other; a null doc_id is an id like others; an empty table gives no rows. All columns of the input are returned, but for those named
+like a column that dedup() adds.
 """
 
 from __future__ import annotations
@@ -212,6 +213,7 @@ def whole(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame, length: int = 400, whole_characters: bool = False) -> DataFrame:
     """All columns, and n_bytes, n_removed, n_spans, removed (the spans in bytes) and kept (the bytes left)."""
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "removed", "kept", KEY, "_suffix_spans")
     keyed, spans = repeated_spans(docs, length)
     grouped = spans.groupBy(F.col("key").alias(KEY)).agg(F.collect_set(F.struct("start", "end")).alias("_suffix_spans"))
     joined = keyed.join(grouped, KEY, "left").drop(KEY)
