@@ -4,7 +4,7 @@ Samples are cut into overlapping frames; the energy of each frame's spectrum is
 over time and normalised: an image of pitch classes over time. Sixteen filters, differences of rectangle sums read from an
 integral image, are each quantised to two Gray-coded bits, which gives one 32-bit integer for each place of a window that
 slides over the image. Recordings are aligned by the integers that they share: the histogram of offsets between equal
-integers names an offset, and the bit errors over the whole overlap there decide.
+signs of integers names an offset, and the bit errors over the whole overlap there decide.
 
 Equal contents are one class, fingerprinted and aligned once. Queries are recordings flagged as such, held against all
 classes.
@@ -42,6 +42,7 @@ class Settings:
 
 
 WINDOW = 16
+GAP, SIGNS = 8, -0x55555556  # every second bit, as a signed integer
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3.0
 
 
@@ -157,11 +158,13 @@ def fingerprint(media: DataFrame, decode: Callable[[object, int], np.ndarray] =
 def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(query_id, match_id, offset, overlap, votes, bit_error): for each query class and any other class the best offset.
 
-    prints: (class_id, codes). Places of equal integers are joined by pairs of neighbouring integers, which common single
-    ones (silence, a held note) do not clog; the votes are summed before the shuffle.
+    prints: (class_id, codes). Places are joined by the sign bits (the Gray codes' upper halves, which noise turns least) of
+    two integers GAP apart, which common single ones (silence, a held note) do not clog; votes are summed before the
+    shuffle.
     """
-    place = F.posexplode(F.expr("transform(sequence(1, greatest(1, size(codes) - 1)), i -> CASE WHEN i < size(codes) THEN struct(codes[i - 1] AS a, codes[i] AS b) END)"))
-    places = prints.where(F.size("codes") > 1).select("class_id", place.alias("at", "pair")).where("pair.a <> pair.b")
+    signs = lambda at: f"codes[{at}] & {SIGNS}"
+    place = F.posexplode(F.expr(f"transform(sequence(1, greatest(1, size(codes) - {GAP})), i -> CASE WHEN i <= size(codes) - {GAP} THEN struct({signs('i - 1')} AS a, {signs(f'i - 1 + {GAP}')} AS b) END)"))
+    places = prints.where(F.size("codes") > GAP).select("class_id", place.alias("at", "pair")).where("pair.a <> pair.b")
     asked = places.join(queries.select("class_id"), "class_id", "left_semi")
     q, r = asked.alias("q"), places.alias("r")
     met = q.join(r, (F.col("q.pair") == F.col("r.pair")) & (F.col("q.class_id") != F.col("r.class_id")))
