@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from textloom.llm.common import blocks, mix, prefix_sums, span_hashes, strings
 
 BUCKET_BITS, DIM, NGRAMS = 20, 8, (3, 4)
-SAMPLE, EPOCHS, RATE, SEED = 4000, 8, 0.5, 11
+SAMPLE, EPOCHS, STEPS, RATE, SEED = 4000, 8, 16_000, 0.5, 11
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, steps: int = STEPS, rate: float = RATE, seed: int = SEED) -> Model:
+    """`epochs` rounds over the sample, more if that is fewer than `steps` documents."""
     y = np.asarray(labels, np.int64)
     if len(set(labels)) < 2:
         share = np.clip(y.mean() if len(y) else 0.5, 1e-6, 1 - 1e-6)
@@ -91,6 +92,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-steps // len(docs)))
     step, steps = 0, epochs * len(docs)
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
