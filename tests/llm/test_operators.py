@@ -385,25 +385,34 @@ def test_chroma(spark):
     base = [prose(120, 7000 + i) for i in range(12)]
     rows = [(i, 0, t) for i, t in enumerate(base)]
     rows += [(100, 0, prose(30, 8000) + " " + base[1]), (101, 0, base[2].replace(" ", " zz ", 1)), (102, 0, base[0]), (103, 0, None), (104, 0, "a b c"), (105, 0, base[3])]
-    media = spark.createDataFrame([(*r, r[0] < 6) for r in rows], "conv_id long, turn long, media string, is_query boolean")
+    r = random.Random(8)
+    for i, said in enumerate(base):
+        w = said.split()
+        for k in r.sample(range(len(w)), 2):
+            w[k] = "zq" * r.randint(1, 9)
+        rows += [(200 + i, 0, " ".join(w)), (300 + i, 0, " ".join(w[r.randint(1, 12) :]))]
+    media = spark.createDataFrame([(*r, r[0] < 12) for r in rows], "conv_id long, turn long, media string, is_query boolean")
     got = {r.conv_id: r for r in chroma.search(media, ["conv_id", "turn"], chroma.spoken, s).collect()}
-    assert len(got) == len(rows) and got[0].class_id == got[102].class_id and got[103].n_codes == 0 and got[104].n_codes == 0 and got[7].matches is None
+    assert len(got) == len(rows) and got[0].class_id == got[102].class_id and got[103].n_codes == 0 and got[104].n_codes == 0 and got[104].matches is None
     prints = {i: chroma.codes(chroma.chroma(chroma.spoken(t, s.rate), s)) for i, _, t in rows}
     wanted = found = 0
-    for q in range(6):
+    for q in range(12):
         for r, y in prints.items():
             if got[r].class_id == got[q].class_id:
                 continue
-            x, best = prints[q], 1.0
+            x, best, errors = prints[q], 1.0, {}
             for off in range(-len(x), len(y)):
                 a = max(0, -off)
                 n = min(len(x) - a, len(y) - off - a)
                 if n >= s.min_overlap:
-                    best = min(best, np.bitwise_count(x[a : a + n] ^ y[a + off : a + off + n]).sum() / 32 / n)
-            if best <= 0.1:
+                    errors[off] = np.bitwise_count(x[a : a + n] ^ y[a + off : a + off + n]).sum() / 32 / n
+                    best = min(best, errors[off])
+            here = [m for m in got[q].matches if m.match_id == got[r].class_id]
+            assert all(m.bit_error == pytest.approx(errors[m.offset]) and m.bit_error <= s.max_error for m in here)
+            if best <= s.max_error:
                 wanted += 1
-                found += any(m.match_id == got[r].class_id for m in got[q].matches)
-    assert wanted >= 2 and found >= 0.9 * wanted
+                found += len(here)
+    assert wanted >= 20 and found >= 0.9 * wanted
     assert chroma.search(media.limit(0), ["conv_id", "turn"], chroma.spoken, s).count() == 0
 
 

@@ -37,12 +37,12 @@ class Settings:
     low: float = 28.0
     high: float = 3520.0
     min_overlap: int = 16
-    max_error: float = 0.2
-    min_votes: int = 2
+    max_error: float = 0.15
+    min_votes: int = 1
 
 
 WINDOW = 16
-GAP, SIGNS = 8, -0x55555556  # every second bit, as a signed integer
+SIGNS, UPPER, LOWER = -0x55555556, -0x55560000, 0xAAAA  # every second bit, and those of either half, as signed integers
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3.0
 
 
@@ -155,16 +155,28 @@ def fingerprint(media: DataFrame, decode: Callable[[object, int], np.ndarray] =
     return media.select("class_id", "media").mapInArrow(run, "class_id long, codes array<int>")
 
 
+def _keys() -> list[str]:
+    """SQL of four 32-bit keys of the place i: sixteen signs of two integers (4 or 8 apart), or eight of four (3 apart, either half).
+
+    A key is null past the end, and where its parts are equal: silence and held notes would clog it.
+    """
+    out = []
+    for mask, gaps, shifts in ((SIGNS, (0, 8), (0, 1)), (SIGNS, (0, 4), (0, 1)), (UPPER, (0, 3, 6, 9), (0, 1, 16, 17)), (LOWER, (0, 3, 6, 9), (0, 1, -16, -15))):
+        parts = [f"(get(codes, i + {g}) & {mask})" for g in gaps]
+        packed = [f"shiftrightunsigned({p}, {s})" if s >= 0 else f"shiftleft({p}, {-s})" for p, s in zip(parts, shifts, strict=True)]
+        differ = " OR ".join(f"{parts[0]} <> {p}" for p in parts[1:])
+        out.append(f"CASE WHEN {differ} THEN {len(out)} * 4294967296 + ({' | '.join(packed)}) END")
+    return out
+
+
 def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(query_id, match_id, offset, overlap, votes, bit_error): for each query class and any other class the best offset.
 
-    prints: (class_id, codes). Places are joined by the sign bits (the Gray codes' upper halves, which noise turns least) of
-    two integers GAP apart, which common single ones (silence, a held note) do not clog; votes are summed before the
-    shuffle.
+    prints: (class_id, codes). Places are joined by keys of sign bits (the Gray codes' upper halves, which noise turns least)
+    of spaced integers; votes are summed before the shuffle. One vote makes a candidate: the bit errors decide.
     """
-    signs = lambda at: f"codes[{at}] & {SIGNS}"
-    place = F.posexplode(F.expr(f"transform(sequence(1, greatest(1, size(codes) - {GAP})), i -> CASE WHEN i <= size(codes) - {GAP} THEN struct({signs('i - 1')} AS a, {signs(f'i - 1 + {GAP}')} AS b) END)"))
-    places = prints.where(F.size("codes") > GAP).select("class_id", place.alias("at", "pair")).where("pair.a <> pair.b")
+    place = F.posexplode(F.expr(f"transform(sequence(0, size(codes) - 1), i -> array({', '.join(_keys())}))"))
+    places = prints.where(F.size("codes") > 0).select("class_id", place.alias("at", "keys")).select("class_id", "at", F.explode("keys").alias("pair")).where("pair IS NOT NULL")
     asked = places.join(queries.select("class_id"), "class_id", "left_semi")
     q, r = asked.alias("q"), places.alias("r")
     met = q.join(r, (F.col("q.pair") == F.col("r.pair")) & (F.col("q.class_id") != F.col("r.class_id")))
@@ -176,7 +188,7 @@ def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings
     both = best.join(x, "query_id").join(y, "match_id")
     both = both.withColumn("from", F.greatest(F.lit(0), -F.col("offset"))).withColumn("overlap", F.least(F.size("x") - F.col("from"), F.size("y") - F.col("offset") - F.col("from")))
     both = both.where(F.col("overlap") >= settings.min_overlap)
-    errors = F.expr("aggregate(zip_with(slice(x, from + 1, overlap), slice(y, from + offset + 1, overlap), (a, b) -> bit_count((a ^ b) & -1)), 0L, (s, e) -> s + e)")
+    errors = F.expr("aggregate(zip_with(slice(x, from + 1, overlap), slice(y, from + offset + 1, overlap), (a, b) -> bit_count((a ^ b) & 4294967295L)), 0L, (s, e) -> s + e)")
     both = both.withColumn("bit_error", errors / (32.0 * F.col("overlap")))
     return both.where(F.col("bit_error") <= settings.max_error).select("query_id", "match_id", "offset", "overlap", "votes", "bit_error")
 
