@@ -38,7 +38,7 @@ class Settings:
     high: float = 3520.0
     min_overlap: int = 16
     max_error: float = 0.15
-    min_votes: int = 1
+    min_votes: int = 3
 
 
 WINDOW = 16
@@ -173,7 +173,7 @@ def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings
     """(query_id, match_id, offset, overlap, votes, bit_error): for each query class and any other class the best offset.
 
     prints: (class_id, codes). Places are joined by keys of sign bits (the Gray codes' upper halves, which noise turns least)
-    of spaced integers; votes are summed before the shuffle. One vote makes a candidate: the bit errors decide.
+    of spaced integers; votes are summed before the shuffle. `min_votes` make a candidate, as single keys meet by chance: the bit errors decide.
     """
     place = F.posexplode(F.expr(f"transform(sequence(0, size(codes) - 1), i -> array({', '.join(_keys())}))"))
     places = prints.where(F.size("codes") > 0).select("class_id", place.alias("at", "keys")).select("class_id", "at", F.explode("keys").alias("pair")).where("pair IS NOT NULL")
