@@ -416,6 +416,20 @@ def test_chroma(spark):
     assert chroma.search(media.limit(0), ["conv_id", "turn"], chroma.spoken, s).count() == 0
 
 
+def test_chroma_single_votes(spark):
+    r = np.random.default_rng(4)
+    x = r.integers(0, 1 << 32, 20, dtype=np.uint32)
+    y = x ^ np.uint32(0xA000000A)  # two signs of either half turned at all places but two
+    y[[0, 8]] = x[[0, 8]]
+    tail = np.concatenate([y, x[:15]])  # more keys meet 20 places on, where the overlap is too short
+    rows = [(1, x), (2, y), (3, tail), (4, r.integers(0, 1 << 32, 20, dtype=np.uint32))]
+    prints = spark.createDataFrame([(i, c.view(np.int32).tolist()) for i, c in rows], "class_id long, codes array<int>")
+    got = chroma.aligned(prints, spark.createDataFrame([(1,)], "class_id long")).collect()
+    assert sorted((m.match_id, m.offset, m.overlap, m.bit_error) for m in got) == [(2, 0, 20, 0.1125), (3, 0, 20, 0.1125)]
+    both = chroma.aligned(prints, prints).collect()
+    assert {(m.query_id, m.match_id) for m in both} >= {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)} and all(4 not in m[:2] for m in both)
+
+
 def test_wav():
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

@@ -4,7 +4,7 @@ Samples are cut into overlapping frames; the energy of each frame's spectrum is
 over time and normalised: an image of pitch classes over time. Sixteen filters, differences of rectangle sums read from an
 integral image, are each quantised to two Gray-coded bits, which gives one 32-bit integer for each place of a window that
 slides over the image. Recordings are aligned by the integers that they share: the histogram of offsets between equal
-signs of integers names an offset, and the bit errors over the whole overlap there decide.
+signs of integers names offsets, and the bit errors over the whole overlap at each decide.
 
 Equal contents are one class, fingerprinted and aligned once. Queries are recordings flagged as such, held against all
 classes.
@@ -20,6 +20,7 @@ import io
 import wave
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,10 @@ class Settings:
     high: float = 3520.0
     min_overlap: int = 16
     max_error: float = 0.15
-    min_votes: int = 3
+    min_votes: int = 1
 
 
 WINDOW = 16
-SIGNS, UPPER, LOWER = -0x55555556, -0x55560000, 0xAAAA  # every second bit, and those of either half, as signed integers
 SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25]) / 3.0
 
 
@@ -74,14 +74,18 @@ def wav_samples(raw: bytes | None, rate: int) -> np.ndarray:
 NOTE, TONES = 256, 48
 
 
-def spoken(text: str | None, rate: int) -> np.ndarray:
-    """A melody for a text: each word is a note of NOTE samples whose pitch its letters choose. A stand-in for recordings in tables of text."""
+@cache
+def _tones(rate: int, note: int) -> np.ndarray:
+    return np.sin(2 * np.pi * np.arange(note) * (110 * 2 ** (np.arange(TONES)[:, None] / 12)) / rate).astype(np.float32)
+
+
+def spoken(text: str | None, rate: int, note: int = NOTE) -> np.ndarray:
+    """A melody for a text: each word is a note of `note` samples whose pitch its letters choose. A stand-in for recordings in tables of text."""
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.float32)
     pitch = np.array([sum(w.encode("utf-8", "replace")) * 31 + len(w) for w in words]) % TONES
-    cycle = np.sin(2 * np.pi * np.arange(NOTE) * (110 * 2 ** (np.arange(TONES)[:, None] / 12)) / rate).astype(np.float32)
-    return cycle[pitch].ravel()
+    return _tones(rate, note)[pitch].ravel()
 
 
 def chroma(x: np.ndarray, s: Settings) -> np.ndarray:
@@ -155,42 +159,155 @@ def fingerprint(media: DataFrame, decode: Callable[[object, int], np.ndarray] =
     return media.select("class_id", "media").mapInArrow(run, "class_id long, codes array<int>")
 
 
-def _keys() -> list[str]:
-    """SQL of four 32-bit keys of the place i: sixteen signs of two integers (4 or 8 apart), or eight of four (3 apart, either half).
+GAPS = ((0, 8), (0, 4), (0, 3, 6, 9), (0, 3, 6, 9))  # of the integers of a key: sixteen signs of two, or eight of four (either half)
+BLOCK_CODES, BATCH_CODES, BATCH_PLACES = 1 << 20, 1 << 16, 1 << 19  # integers of queries held by a task, of recordings looked up at once, places compared at once
 
-    A key is null past the end, and where its parts are equal: silence and held notes would clog it.
-    """
+
+def _packed(kind: int, parts: list[np.ndarray]) -> np.ndarray:
+    u = np.uint32
+    if kind < 2:
+        return (parts[0] & u(0xAAAAAAAA)) | ((parts[1] & u(0xAAAAAAAA)) >> u(1))
+    if kind == 2:
+        a, b, c, d = (x & u(0xAAAA0000) for x in parts)
+        return a | (b >> u(1)) | (c >> u(16)) | (d >> u(17))
+    a, b, c, d = (x & u(0xAAAA) for x in parts)
+    return a | (b >> u(1)) | (c << u(16)) | (d << u(15))
+
+
+def keys(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, recording, place, length) of recordings laid end to end: a run of places with one key is one row."""
+    sizes = np.diff(ends)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(flat)) - ends[owner]
+    kinds = [(k, GAPS[k], at + GAPS[k][-1] < sizes[owner]) for k in range(4)]
     out = []
-    for mask, gaps, shifts in ((SIGNS, (0, 8), (0, 1)), (SIGNS, (0, 4), (0, 1)), (UPPER, (0, 3, 6, 9), (0, 1, 16, 17)), (LOWER, (0, 3, 6, 9), (0, 1, -16, -15))):
-        parts = [f"(get(codes, i + {g}) & {mask})" for g in gaps]
-        packed = [f"shiftrightunsigned({p}, {s})" if s >= 0 else f"shiftleft({p}, {-s})" for p, s in zip(parts, shifts, strict=True)]
-        differ = " OR ".join(f"{parts[0]} <> {p}" for p in parts[1:])
-        out.append(f"CASE WHEN {differ} THEN {len(out)} * 4294967296 + ({' | '.join(packed)}) END")
+    for kind, gaps, valid in kinds:
+        i = np.flatnonzero(valid)
+        parts = [flat[i + g] & np.uint32((0xAAAAAAAA, 0xAAAAAAAA, 0xAAAA0000, 0xAAAA)[kind]) for g in gaps]
+        i = i[np.any([parts[0] != c for c in parts[1:]], 0)]  # silence and held notes are left out
+        packed = _packed(kind, [flat[i + g] for g in gaps])
+        key = (np.int64(kind) << 32) | packed.astype(np.int64)
+        first = np.ones(len(i), bool)
+        first[1:] = (key[1:] != key[:-1]) | (owner[i[1:]] != owner[i[:-1]])
+        start = np.flatnonzero(first)
+        out.append((key[start], owner[i[start]], at[i[start]], np.diff(np.append(start, len(i)))))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _votes(asked: tuple, rows: tuple, x_sizes: np.ndarray, y_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, recording, offset, votes): runs of one key may begin or end together. `asked` is sorted by key."""
+    key, owner, at, length = rows
+    low, high = np.searchsorted(asked[0], key, "left"), np.searchsorted(asked[0], key, "right")
+    hit = np.flatnonzero(high > low)
+    less = int(x_sizes.max(initial=0))
+    span, many = less + int(y_sizes.max(initial=0)) + 1, max(1, len(x_sizes))
+    total, codes, counts = np.cumsum(high[hit] - low[hit]), [], []
+    while len(hit):
+        stop = max(1, int(np.searchsorted(total, BATCH_PLACES, "right")))
+        part, n = hit[:stop], high[hit[:stop]] - low[hit[:stop]]
+        r = np.repeat(part, n)
+        q = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)
+        begin, end = at[r] - asked[2][q], at[r] + length[r] - asked[2][q] - asked[3][q]
+        v, two, pair = np.minimum(length[r], asked[3][q]), np.flatnonzero(begin != end), (owner[r] * many + asked[1][q]) * span + less
+        code, count = _summed(np.append(pair + begin, (pair + end)[two]), np.append(v, v[two]))
+        codes.append(code), counts.append(count)
+        hit, total = hit[stop:], total[stop:] - total[stop - 1]
+    if not codes:
+        return (np.zeros(0, np.int64),) * 4
+    code, votes = _summed(np.concatenate(codes), np.concatenate(counts)) if len(codes) > 1 else (codes[0], counts[0])
+    pair, offset = np.divmod(code, span)
+    return pair % many, pair // many, offset - less, votes
+
+
+def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code)
+    code, count = code[order], count[order]
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+    return code[start], np.add.reduceat(count, start)
+
+
+def _errors(x: np.ndarray, x0: np.ndarray, y: np.ndarray, y0: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Bit errors of x[x0 : x0 + n] against y[y0 : y0 + n], each n at least 1."""
+    out, done, total = np.zeros(len(n), np.int64), 0, np.cumsum(n)
+    while done < len(n):
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + BATCH_PLACES, "right")))
+        m = n[done:stop]
+        begin = np.cumsum(m) - m
+        step = np.arange(int(m.sum()))
+        bits = np.bitwise_count(x[step + np.repeat(x0[done:stop] - begin, m)] ^ y[step + np.repeat(y0[done:stop] - begin, m)])
+        out[done:stop] = np.add.reduceat(bits, begin, dtype=np.int64)
+        done = stop
     return out
 
 
+def _tested(x: np.ndarray, x0: np.ndarray, y: np.ndarray, y0: np.ndarray, n: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which overlaps are within max_error, and their bit errors. One whose first half has too many for the whole is not read on."""
+    half = (n + 1) // 2
+    errors = _errors(x, x0, y, y0, half)
+    ok = np.flatnonzero(errors <= 32.0 * n * max_error)
+    rest = ok[n[ok] > half[ok]]
+    errors[rest] += _errors(x, (x0 + half)[rest], y, (y0 + half)[rest], (n - half)[rest])
+    error = errors[ok] / (32.0 * n[ok])
+    return ok[error <= max_error], error[error <= max_error]
+
+
+def _flat(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(x) for x in codes], np.int64)
+    return codes.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+
+FOUND = "query_id long, match_id long, offset int, overlap int, votes long, bit_error double"
+
+
+def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Settings) -> DataFrame:
+    """All recordings against one block of queries. Every offset that any key names is tested by its bit errors."""
+    shared = prints.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, codes = shared.value
+        x, x_ends = _flat(codes)
+        asked = keys(x, x_ends)
+        order = np.argsort(asked[0], kind="stable")
+        asked = tuple(c[order] for c in asked)
+        for batch in batches:
+            y_all, ends_all = _flat(batch.column("codes"))
+            names, i = batch.column("class_id").to_numpy(zero_copy_only=False), 0
+            while i < len(names):
+                j = max(i + 1, int(np.searchsorted(ends_all, ends_all[i] + BATCH_CODES, "right")) - 1)
+                y, y_ends, own = y_all[ends_all[i] : ends_all[j]], ends_all[i : j + 1] - ends_all[i], names[i:j]
+                nx, ny = np.diff(x_ends), np.diff(y_ends)
+                q, r, offset, votes = _votes(asked, keys(y, y_ends), nx, ny)
+                i = j
+                begin = np.maximum(0, -offset)
+                overlap = np.minimum(nx[q] - begin, ny[r] - offset - begin)
+                ok = np.flatnonzero((ids[q] != own[r]) & (overlap >= settings.min_overlap) & (votes >= settings.min_votes))
+                q, r, offset, votes, begin, overlap = (c[ok] for c in (q, r, offset, votes, begin, overlap))
+                ok, error = _tested(x, x_ends[q] + begin, y, y_ends[r] + begin + offset, overlap, settings.max_error)
+                q, r, offset, votes, overlap = (c[ok] for c in (q, r, offset, votes, overlap))
+                order = np.lexsort((offset, -overlap, error, r, q))
+                best = order[np.append(True, (q[order][1:] != q[order][:-1]) | (r[order][1:] != r[order][:-1]))[: len(order)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[q[best]], own[r[best]], offset[best].astype(np.int32), overlap[best].astype(np.int32), votes[best], error[best])], names=["query_id", "match_id", "offset", "overlap", "votes", "bit_error"])
+
+    return prints.select("class_id", "codes").mapInArrow(run, FOUND)
+
+
 def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(query_id, match_id, offset, overlap, votes, bit_error): for each query class and any other class the best offset.
+    """(query_id, match_id, offset, overlap, votes, bit_error): for each query class and any other class the offset of least bit error.
 
-    prints: (class_id, codes). Places are joined by keys of sign bits (the Gray codes' upper halves, which noise turns least)
-    of spaced integers; votes are summed before the shuffle. `min_votes` make a candidate, as single keys meet by chance: the bit errors decide.
+    prints: (class_id, codes). Places are looked up by keys of sign bits (the Gray codes' upper halves, which noise turns least)
+    of spaced integers. All offsets that at least `min_votes` keys name are tested, and the bit errors alone decide. A task
+    holds one block of queries; recordings are
+    read once for each block.
     """
-    place = F.posexplode(F.expr(f"transform(sequence(0, size(codes) - 1), i -> array({', '.join(_keys())}))"))
-    places = prints.where(F.size("codes") > 0).select("class_id", place.alias("at", "keys")).select("class_id", "at", F.explode("keys").alias("pair")).where("pair IS NOT NULL")
-    asked = places.join(queries.select("class_id"), "class_id", "left_semi")
-    q, r = asked.alias("q"), places.alias("r")
-    met = q.join(r, (F.col("q.pair") == F.col("r.pair")) & (F.col("q.class_id") != F.col("r.class_id")))
-    votes = met.groupBy(F.col("q.class_id").alias("query_id"), F.col("r.class_id").alias("match_id"), (F.col("r.at") - F.col("q.at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query_id", "match_id").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("best"))
-    best = best.select("query_id", "match_id", F.col("best.offset").alias("offset"), F.col("best.votes").alias("votes")).where(F.col("votes") >= settings.min_votes)
-    x = prints.select(F.col("class_id").alias("query_id"), F.col("codes").alias("x"))
-    y = prints.select(F.col("class_id").alias("match_id"), F.col("codes").alias("y"))
-    both = best.join(x, "query_id").join(y, "match_id")
-    both = both.withColumn("from", F.greatest(F.lit(0), -F.col("offset"))).withColumn("overlap", F.least(F.size("x") - F.col("from"), F.size("y") - F.col("offset") - F.col("from")))
-    both = both.where(F.col("overlap") >= settings.min_overlap)
-    errors = F.expr("aggregate(zip_with(slice(x, from + 1, overlap), slice(y, from + offset + 1, overlap), (a, b) -> bit_count((a ^ b) & 4294967295L)), 0L, (s, e) -> s + e)")
-    both = both.withColumn("bit_error", errors / (32.0 * F.col("overlap")))
-    return both.where(F.col("bit_error") <= settings.max_error).select("query_id", "match_id", "offset", "overlap", "votes", "bit_error")
+    asked = written(prints.where(F.size("codes") > 0).join(queries.select("class_id"), "class_id", "left_semi"), "chroma-asked")
+    n = max(1, -(-(asked.agg(F.sum(F.size("codes"))).first()[0] or 0) // BLOCK_CODES))
+    found = None
+    for i in range(n):
+        block = asked.where(F.pmod(F.xxhash64(F.col("class_id"), F.lit(7)), F.lit(n)) == i).toArrow().combine_chunks()
+        codes = block.column("codes").combine_chunks()
+        part = _held(prints, (block.column("class_id").to_numpy().astype(np.int64), codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes), settings)
+        found = part if found is None else found.unionAll(part)
+    return found
 
 
 def search(media: DataFrame, keys: list[str], decode: Callable[[object, int], np.ndarray] = wav_samples, settings: Settings = Settings()) -> DataFrame:
