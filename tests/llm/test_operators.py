@@ -430,6 +430,20 @@ def test_chroma_single_votes(spark):
     assert {(m.query_id, m.match_id) for m in both} >= {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)} and all(4 not in m[:2] for m in both)
 
 
+def test_chroma_held(spark):
+    s = chroma.Settings(rate=4000, frame=1024, step=341, low=80.0, high=1900.0)
+
+    def decode(x, rate):
+        hz, n = map(int, x.split())
+        return np.sin(2 * np.pi * hz * np.arange(n) / rate).astype(np.float32)
+
+    media = ["0 14000", "0 20000", "440 14000", "440 20000", "587 18000"]
+    rows = spark.createDataFrame([(i, m, True) for i, m in enumerate(media)], "k long, media string, is_query boolean")
+    got = {r.k: r for r in chroma.search(rows, ["k"], decode, s).collect()}
+    meet = {k: {j for j in got for m in r.matches if m.match_id == got[j].class_id and m.bit_error == 0} for k, r in got.items()}
+    assert meet == {0: {1}, 1: {0}, 2: {3}, 3: {2}, 4: set()}
+
+
 def test_wav():
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

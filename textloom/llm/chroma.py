@@ -10,7 +10,7 @@ Equal contents are one class, fingerprinted and aligned once. Queries are record
 classes.
 
 Defined cases: null media is empty; a recording with fewer frames than the filters' window has no integers and matches
-nothing; silence has a fingerprint like any sound; repeated rows share a class; an empty table gives no rows; columns other
+nothing; silence and held notes have a fingerprint like any sound, and meet as runs; repeated rows share a class; an empty table gives no rows; columns other
 than the keys, the media and the flag are ignored.
 """
 
@@ -175,7 +175,7 @@ def _packed(kind: int, parts: list[np.ndarray]) -> np.ndarray:
 
 
 def keys(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, recording, place, length) of recordings laid end to end: a run of places with one key is one row."""
+    """(key, recording, place, length) of recordings laid end to end: a run of places with one key, as silence and held notes have, is one row."""
     sizes = np.diff(ends)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(flat)) - ends[owner]
@@ -183,8 +183,6 @@ def keys(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     out = []
     for kind, gaps, valid in kinds:
         i = np.flatnonzero(valid)
-        parts = [flat[i + g] & np.uint32((0xAAAAAAAA, 0xAAAAAAAA, 0xAAAA0000, 0xAAAA)[kind]) for g in gaps]
-        i = i[np.any([parts[0] != c for c in parts[1:]], 0)]  # silence and held notes are left out
         packed = _packed(kind, [flat[i + g] for g in gaps])
         key = (np.int64(kind) << 32) | packed.astype(np.int64)
         first = np.ones(len(i), bool)
