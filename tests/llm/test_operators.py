@@ -444,6 +444,16 @@ def test_chroma_held(spark):
     assert meet == {0: {1}, 1: {0}, 2: {3}, 3: {2}, 4: set()}
 
 
+def test_chroma_short_turns(spark, tmp_path):
+    base = [prose(7 + i, 9000 + i) for i in range(12)]
+    rows = [(50 * i, 0, "user", t) for i, t in enumerate(base)] + [(50 * i + 1, 0, "user", t + " zq") for i, t in enumerate(base)] + [(50 * i + 2, 0, "user", "zq " + t) for i, t in enumerate(base)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op10_chroma(spark, str(tmp_path)).collect()}
+    assert all(r.n_codes > 0 for r in got.values())
+    found = [got[50 * i + k].class_id in {m.match_id for m in got[50 * i].matches} for i in range(12) for k in (1, 2)]
+    assert sum(found) >= 0.9 * len(found)
+
+
 def test_wav():
     out = io.BytesIO()
     with wave.open(out, "wb") as w:

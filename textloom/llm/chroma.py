@@ -160,6 +160,7 @@ def fingerprint(media: DataFrame, decode: Callable[[object, int], np.ndarray] =
 
 
 GAPS = ((0, 8), (0, 4), (0, 3, 6, 9), (0, 3, 6, 9))  # of the integers of a key: sixteen signs of two, or eight of four (either half)
+SHORT = 10  # recordings with fewer integers lack some kinds of key; they meet others by the signs of single integers
 BLOCK_CODES, BATCH_CODES, BATCH_PLACES = 1 << 20, 1 << 16, 1 << 19  # integers of queries held by a task, of recordings looked up at once, places compared at once
 
 
@@ -174,16 +175,21 @@ def _packed(kind: int, parts: list[np.ndarray]) -> np.ndarray:
     return a | (b >> u(1)) | (c << u(16)) | (d << u(15))
 
 
-def keys(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, recording, place, length) of recordings laid end to end: a run of places with one key, as silence and held notes have, is one row."""
+def keys(flat: np.ndarray, ends: np.ndarray, asked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, recording, place, length) of recordings laid end to end: a run of places with one key, as silence and held notes have, is one row.
+
+    Short recordings ask by single integers, and all others answer; long ones ask so of short recordings only.
+    """
     sizes = np.diff(ends)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(flat)) - ends[owner]
+    short = sizes[owner] < SHORT
     kinds = [(k, GAPS[k], at + GAPS[k][-1] < sizes[owner]) for k in range(4)]
+    kinds += [(4, (0,), short), (5, (0,), ~short)] if asked else [(4, (0,), np.ones(len(flat), bool)), (5, (0,), short)]
     out = []
     for kind, gaps, valid in kinds:
         i = np.flatnonzero(valid)
-        packed = _packed(kind, [flat[i + g] for g in gaps])
+        packed = (flat[i] & np.uint32(0xAAAAAAAA)) if kind > 3 else _packed(kind, [flat[i + g] for g in gaps])
         key = (np.int64(kind) << 32) | packed.astype(np.int64)
         first = np.ones(len(i), bool)
         first[1:] = (key[1:] != key[:-1]) | (owner[i[1:]] != owner[i[:-1]])
@@ -264,7 +270,7 @@ def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Setti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, codes = shared.value
         x, x_ends = _flat(codes)
-        asked = keys(x, x_ends)
+        asked = keys(x, x_ends, True)
         order = np.argsort(asked[0], kind="stable")
         asked = tuple(c[order] for c in asked)
         for batch in batches:
@@ -274,11 +280,12 @@ def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Setti
                 j = max(i + 1, int(np.searchsorted(ends_all, ends_all[i] + BATCH_CODES, "right")) - 1)
                 y, y_ends, own = y_all[ends_all[i] : ends_all[j]], ends_all[i : j + 1] - ends_all[i], names[i:j]
                 nx, ny = np.diff(x_ends), np.diff(y_ends)
-                q, r, offset, votes = _votes(asked, keys(y, y_ends), nx, ny)
+                q, r, offset, votes = _votes(asked, keys(y, y_ends, False), nx, ny)
                 i = j
                 begin = np.maximum(0, -offset)
                 overlap = np.minimum(nx[q] - begin, ny[r] - offset - begin)
-                ok = np.flatnonzero((ids[q] != own[r]) & (overlap >= settings.min_overlap) & (votes >= settings.min_votes))
+                least = np.minimum(settings.min_overlap, np.minimum(nx[q], ny[r]))
+                ok = np.flatnonzero((ids[q] != own[r]) & (overlap >= least) & (votes >= settings.min_votes))
                 q, r, offset, votes, begin, overlap = (c[ok] for c in (q, r, offset, votes, begin, overlap))
                 ok, error = _tested(x, x_ends[q] + begin, y, y_ends[r] + begin + offset, overlap, settings.max_error)
                 q, r, offset, votes, overlap = (c[ok] for c in (q, r, offset, votes, overlap))
@@ -293,8 +300,8 @@ def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings
     """(query_id, match_id, offset, overlap, votes, bit_error): for each query class and any other class the offset of least bit error.
 
     prints: (class_id, codes). Places are looked up by keys of sign bits (the Gray codes' upper halves, which noise turns least)
-    of spaced integers. All offsets that at least `min_votes` keys name are tested, and the bit errors alone decide. A task
-    holds one block of queries; recordings are
+    of spaced integers. All offsets that at least `min_votes` keys name are tested, and the bit errors alone decide. An overlap has
+    `min_overlap` integers, or all of the shorter recording where it has fewer. A task holds one block of queries; recordings are
     read once for each block.
     """
     asked = written(prints.where(F.size("codes") > 0).join(queries.select("class_id"), "class_id", "left_semi"), "chroma-asked")
