@@ -380,6 +380,42 @@ def test_lm_scoring(spark, docs, rows, empty):
     assert lm_scoring.cross_entropy_difference(empty, targets).count() == 0
 
 
+def test_word_scoring(spark, docs, rows, empty):
+    chosen = {d for d, _ in rows if d is not None and d % 2 == 0}
+    said = [(d, [w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", t or "") if w]) for d, t in rows]
+    counts = [(Counter(), Counter(), Counter()) for _ in range(2)]
+    for d, words in said:
+        for v, w in zip([None, *words], words):
+            for one, context, two in counts[: 1 + (d in chosen)]:
+                one[w] += 1
+                context[v] += 1
+                two[v, w] += 1
+    s, kinds = lm_scoring.STRENGTH, len(counts[0][0])
+
+    def loss(model, v, w):
+        one, context, two = model
+        return -np.log((two[v, w] + s * (one[w] + s / kinds) / (one.total() + s)) / (context[v] + s))
+
+    want = []
+    for d, words in said:
+        means = [float(np.mean([loss(m, v, w) for v, w in zip([None, *words], words)])) if words else 0.0 for m in counts]
+        want.append((d, len(words), means[1] - means[0]))
+    targets = spark.createDataFrame([(d,) for d in chosen] + [(None,)], "doc_id long")
+    got = [(r.doc_id, r.n_tokens, r.score) for r in lm_scoring.word_difference(docs, targets).collect()]
+    for x, y in zip(sorted(got, key=lambda r: (str(r[:2]), r[2])), sorted(want, key=lambda r: (str(r[:2]), r[2])), strict=True):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-9)
+    assert lm_scoring.word_difference(empty, targets).count() == 0
+    assert {r.target_loss for r in lm_scoring.word_difference(docs.limit(20), targets.limit(0)).where("n_tokens > 0").collect()} != {0.0}
+
+
+def test_scoring_grows(spark, tmp_path):
+    text = [" ".join(f"w{k}x{i}" for k in range(30)) for i in range(40)]
+    spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(0, 40, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op8_lm_scoring(spark, str(tmp_path)).collect()
+    assert {r.n_tokens for r in got} == {30} and all((r.score < 0) == (r.doc_id % 2 == 0) for r in got)
+
+
 def test_chroma(spark):
     s = chroma.Settings(rate=4000, frame=1024, step=341, low=80.0, high=1900.0)
     base = [prose(120, 7000 + i) for i in range(12)]

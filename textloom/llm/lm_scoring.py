@@ -7,6 +7,10 @@ its bytes of the target's loss less the background's, in nats: lower is more lik
 A task counts its texts into one table and sends its non-zero cells; the merged model has 2 ** 24 cells at most at any
 size, as the vocabulary is fixed.
 
+`word_difference` is the same score over words: its n-grams are pairs of neighbouring words, smoothed towards single words and
+these towards the uniform over all words seen. Its counts grow with the corpus, so they stay distributed: pairs are counted
+before the shuffle and looked up by a join.
+
 Defined cases: a null or empty text has no tokens and scores 0; without a target document the target model is the uniform
 one; a null flag is no target; repeated documents count and score each; other columns are ignored.
 """
@@ -105,3 +109,39 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     # one kind of join at every size: texts are dealt by doc_id however small the list of targets is
     chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
     return score(docs, model(count(docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left"))))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """A row for each word: the columns other than `words`, v (the word before, 0 at a text's begin), w and their hash g."""
+    before = F.concat(F.array(F.lit(0).cast("long")), F.expr("slice(words, 1, size(words) - 1)"))
+    out = rows.where(F.size("words") > 0).withColumn("p", F.explode(F.arrays_zip(before.alias("v"), F.col("words").alias("w")))).drop("words")
+    return out.select("*", "p.v", "p.w", F.xxhash64("p.v", "p.w").alias("g")).drop("p")
+
+
+def word_model(rows: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """(g, target_loss, background_loss) of each pair of words in (is_target, words): the distributed model, a row for each pair seen."""
+    n = [F.count("*").alias("n_all"), F.count_if("is_target").alias("n_target")]
+    counts = written(_pairs(rows.select("is_target", "words")).groupBy("g", "v", "w").agg(*n), "lm-pairs")
+    one, context = (counts.groupBy(c).agg(F.sum("n_all").alias(f"{c}_all"), F.sum("n_target").alias(f"{c}_target")) for c in ("w", "v"))
+    one = written(one, "lm-words")
+    kinds, *totals = one.agg(F.count("*"), F.sum("w_all"), F.sum("w_target")).first()
+
+    def loss(name: str, total: int):
+        single = (F.col(f"w_{name}") + strength / kinds) / (total + strength)
+        return -F.log((F.col(f"n_{name}") + strength * single) / (F.col(f"v_{name}") + strength))
+
+    losses = [loss(name, total or 0).alias(alias) for name, total, alias in (("target", totals[1], "target_loss"), ("all", totals[0], "background_loss"))] if kinds else [F.lit(0.0).alias(c) for c in ("target_loss", "background_loss")]
+    return counts.join(one, "w").join(context, "v").select("g", *losses)
+
+
+def word_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """As cross_entropy_difference, over pairs of words; n_tokens counts words. Rows of one doc_id score each."""
+    chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    split = F.transform(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+"), lambda x: x != ""), lambda x: F.xxhash64(x))
+    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("words")).join(chosen, "doc_id", "left")
+    rows = written(flagged.select("doc_id", "words", F.coalesce("is_target", F.lit(False)).alias("is_target")).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    found = _pairs(rows.select("row", "words")).select("row", "g").join(word_model(rows), "g")
+    sums = found.groupBy("row").agg(F.avg("target_loss").alias("target_loss"), F.avg("background_loss").alias("background_loss"))
+    out = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_tokens")).join(sums, "row", "left")
+    means = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss")]
+    return out.select("doc_id", "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -54,7 +54,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return lm_scoring.word_difference(table(spark, sf_dir, "documents"), good)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
