@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import chain, sentences, wikitext
 from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, sampling, splits
-from textloom.plans.table_queries import FOX, dep_tree_rows
+from textloom.plans.table_queries import FOX, dep_tree_rows, graph_centrality, graph_edges
 
 
 def one(spark, text, column):
@@ -113,6 +113,15 @@ def test_shortest_path(spark):
     assert tuple(graph.shortest_paths(packed, "k").first()) == (1, "2", 0.4)
 
 
+def test_centrality_of_documents(spark, tmp_path):
+    rows = [(1, "a b c d e. f g h!"), (2, " ".join(f"w{i}" for i in range(120)) + ".")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "x y z.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.sid, r.node) for r in graph_centrality(spark, str(tmp_path)).collect()}
+    want = {(r.sid, n) for r in graph_edges(spark, str(tmp_path)).collect() for n in (r.u, r.v)}
+    assert got == want and len({n for s, n in got if s // 100000 == 2}) == 120
+
+
 def test_kb(spark):
     reply = '{"results":{"bindings":[{"item":{"value":"http://kb/Q1"},"lemma":{"value":"a"}},{"lemma":{"value":"b"}}]}}'
     assert [tuple(r) for r in one(spark, reply, lambda c: kb.decode(c, "item", "lemma"))] == [("http://kb/Q1", "a"), (None, "b")]

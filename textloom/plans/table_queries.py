@@ -289,7 +289,7 @@ def graph_degree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_centrality(spark: SparkSession, d: str) -> DataFrame:
-    return graph.centralities(_packed(spark, d, "benchmark", "item_id"), "sid")
+    return graph.centralities(_packed(spark, d), "sid")
 
 
 def pair_counts(spark: SparkSession, d: str) -> DataFrame:
