@@ -107,6 +107,16 @@ def test_tree(spark):
     assert (got.lca, got.path1, got.path2) == (5, "fox/jumps", "dog/jumps")
 
 
+def test_deep_tree(spark):
+    heads = {1: 0} | {i: i - 1 for i in range(2, 72)} | {72: 1} | {i: i - 1 for i in range(73, 142)} | {200: 201, 201: 200}
+    tokens = spark.createDataFrame([(1, i, h, f"w{i}") for i, h in heads.items()], "k long, idx long, head long, word string")
+    ends = spark.createDataFrame([(1, 1, 71), (1, 2, 141)], "k long, side int, idx long")
+    got = graph.branches(graph.root_paths(tokens, ends, "k"), tokens, "k").first()
+    assert (got.lca, got.path1.count("/"), got.path2.count("/")) == (1, 70, 70) and got.path2.startswith("w141/w140/")
+    ring = graph.root_paths(tokens, spark.createDataFrame([(1, 1, 200)], "k long, side int, idx long"), "k")
+    assert [r.node for r in ring.orderBy("steps").collect()] == [200, 201]
+
+
 def test_shortest_path(spark):
     e = graph.edges(spark.createDataFrame([(1, 1, 2), (1, 2, 0), (1, 3, 2)], "k long, idx long, head long"), "k")
     packed = e.groupBy("k").agg(F.collect_list(F.struct("u", "v", "weight")).alias("edges")).select("k", "edges", F.lit(1).cast("long").alias("a"), F.lit(3).cast("long").alias("b"))

@@ -72,10 +72,15 @@ def lemma(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.withColumn("lemma", F.lower(F.coalesce("lemma", "word")))
 
 
-def root_paths(tokens: DataFrame, ends: DataFrame, key: str, depth: int = 64) -> DataFrame:
-    """(key, side, node, steps) of every node between an end (key, side, idx) and the root. Trees come packed, one row a sentence, so climbing is a fold and not a chain of joins."""
+def root_paths(tokens: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """(key, side, node, steps) of every node between an end (key, side, idx) and the root. Trees come packed, one row a sentence, so climbing is a loop over it and not a chain of joins.
+
+    A climb has as many steps as the sentence has tokens at most; it ends where heads form a ring.
+    """
     heads = tokens.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "head"))).alias("_heads"))
-    climb = F.expr(f"aggregate(sequence(1, {depth}), array(idx), (path, i) -> CASE WHEN coalesce(try_element_at(_heads, element_at(path, -1)), 0L) > 0 THEN concat(path, array(try_element_at(_heads, element_at(path, -1)))) ELSE path END)")
+    above = "coalesce(try_element_at(_heads, {}), 0L)"
+    step = f"CASE WHEN s.up > 0 AND NOT array_contains(s.path, s.up) THEN named_struct('path', concat(s.path, array(s.up)), 'up', {above.format('s.up')}) ELSE s END"
+    climb = F.expr(f"aggregate(sequence(1, size(_heads)), named_struct('path', array(idx), 'up', {above.format('idx')}), (s, i) -> {step}, s -> s.path)")
     return ends.join(heads, key).select(key, "side", F.posexplode(climb).alias("steps", "node")).select(key, "side", "node", F.col("steps").cast("long").alias("steps"))
 
 
