@@ -4,8 +4,9 @@ Texts are UTF-8 bytes. A byte goes if some string of `length` bytes that covers
 document or another. Three steps, each over whole texts:
 
 1. Each block of documents gives the suffixes at its sampled anchors (see suffix_core). They are dealt by the bytes after
-   the anchor; a task takes them batch by batch, sorts each into a suffix array, scans it against the levels that it has,
-   and merges levels of equal size. Runs of windows that repeat as a whole are settled here.
+   the anchor; a task takes them batch by batch, sorts each by fingerprint and merges levels of similar size. At the end all
+   levels are one, and equal fingerprints are grouped: no batch is scanned against the levels, and their order is not
+   lexical. Runs of windows that repeat as a whole are settled here.
 2. Runs that share their anchor's bytes but not all their windows go, one of each kind, with their bytes, through a second
    family, of all their suffixes, which settles single windows.
 3. Spans come back to the documents, and their union is cut out.
