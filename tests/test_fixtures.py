@@ -78,6 +78,12 @@ def test_sampling(spark):
     assert {r[0] for r in sampling.rare(rel, "relation").collect()} == {"A", "B"}
 
 
+def test_crosstab_other(spark):
+    df = spark.createDataFrame([("fr", "a"), ("fr", "zz"), ("fr", None), ("fr", ""), (None, "a")], "lang string, source string")
+    got = sampling.crosstab(df, "lang", "source", ["a", "other"]).collect()
+    assert sorted(map(tuple, got)) == [("fr", 1, 3), ("other", 1, 0)]
+
+
 def test_split(spark):
     df = spark.createDataFrame([(i, int(i >= 5), f"e{i}", f"s{i}") for i in range(8)], "id long, y int, e string, s string")
     got = [(r.y, r.part) for r in splits.stratified_half(df, "id", "y", ["e", "s"]).collect()]

@@ -34,6 +34,9 @@ def rare(df: DataFrame, column: str, below: int = 3) -> DataFrame:
 
 
 def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataFrame:
-    """Counts of rows by a fixed list of columns; empty and null are "other"."""
+    """Counts of rows by a fixed list of columns; empty and null are "other", and so are values outside a list that has "other"."""
     of = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "other").otherwise(F.col(c)).alias(c)
-    return df.select(of(rows), of(columns)).groupBy(rows).pivot(columns, values).agg(F.count(F.lit(1))).na.fill(0)
+    df = df.select(of(rows), of(columns))
+    if "other" in values:
+        df = df.withColumn(columns, F.when(F.col(columns).isin(values), F.col(columns)).otherwise("other"))
+    return df.groupBy(rows).pivot(columns, values).agg(F.count(F.lit(1))).na.fill(0)
