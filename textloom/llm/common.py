@@ -11,12 +11,13 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import suppress
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -28,26 +29,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all is one machine, as in tests."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not hasattr(shared_dir, "own"):
             shared_dir.own = tempfile.mkdtemp(prefix="textloom-")
         named = "file://" + shared_dir.own
     return named.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what new_path() named inside. For callers that have written their result: DataFrames returned from inside may still read it."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        while len(_made) > before:
+            drop_path(spark, _made.pop())
 
-def written(df: DataFrame, what: str) -> DataFrame:
+
+def written(df: DataFrame, what: str, codec: str = "snappy") -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; survives lost executors."""
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or with underscores before it until no column has it, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(df: DataFrame, name: str, what: str) -> DataFrame:
+    """The rows, each with a number of its own in column `name`: written, so that it stays the row's when tasks run again."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), what, "zstd")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder made by new_path() by the session's own file system."""
     jvm = spark.sparkContext._jvm
@@ -55,6 +87,38 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+MEMBER_BITS = 27
+
+
+def members(hashes: DataFrame) -> tuple[int, bytes]:
+    """A bitmap of the values of `hash`, 16 bits a row but 2 ** MEMBER_BITS at most (16 MB): it lets all members by, and others in error, all of them where it is full."""
+    bits = min(MEMBER_BITS, max(15, (16 * hashes.count()).bit_length()))
+    at = hashes.select((F.shiftrightunsigned("hash", 64 - bits) + 1).alias("at"))
+    parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(((1 << bits) // 32768, 4096), np.uint8)
+    for part, raw in parts:
+        out[part - 1] = np.frombuffer(raw, np.uint8)
+    return bits, out.tobytes()
+
+
+def may_be_member(hashes: np.ndarray, found: tuple[int, bytes]) -> np.ndarray:
+    bits, raw = found
+    at = (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.frombuffer(raw, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def chosen(df: DataFrame, key: Column | str, found, inside: bool = True) -> DataFrame:
+    """The rows whose `key` may be one of a broadcast bitmap's members (see members()), or those whose key is none."""
+    columns, name = df.columns, fresh(df.columns, "hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = may_be_member(batch.column(name).to_numpy(zero_copy_only=False), found.value)
+            yield batch.select(columns).filter(pa.array(mask == inside))
+
+    return df.withColumn(name, F.xxhash64(key)).mapInArrow(run, df.schema)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `limit` bytes of `column`, or one row. Frees the worker's spare memory at the end."""
     for batch in batches:
