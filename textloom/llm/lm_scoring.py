@@ -1,18 +1,21 @@
 """Cross-entropy difference between a target and a background language model.
 
-Both are byte n-gram models of order 3 over one shared vocabulary (the byte values, and one mark for a text's begin),
-counted over all documents: the background from every text, the target from those flagged. A text's score is the mean over
-its bytes of the target's loss less the background's, in nats: lower is more like the target.
-
-A task counts its texts into one table and sends its non-zero cells; the merged model has 2 ** 24 cells at most at any
-size, as the vocabulary is fixed.
-
-`word_difference` is the same score over words: its n-grams are pairs of neighbouring words, smoothed towards single words and
-these towards the uniform over all words seen. Its counts grow with the corpus, so they stay distributed: pairs are counted
-before the shuffle and looked up by a join.
-
-Defined cases: a null or empty text has no tokens and scores 0; without a target document the target model is the uniform
-one; a null flag is no target; repeated documents count and score each; other columns are ignored.
+Both are models of pairs of neighbouring words over one shared vocabulary (all words of the corpus and one mark for a
+text's begin and end), counted over all documents: the background from every text, the target from those flagged. A pair is
+smoothed towards the single word, and this towards the uniform over the vocabulary; both models are smoothed alike. A
+text's score is the mean over its words and its end of the target's loss less the background's, in nats: lower is more
+like the target.
+
+What is counted grows with the corpus, so no task and not the driver ever holds it all. Texts are written in blocks. A block
+sends its distinct words and pairs once, as sorted and packed hashes, to the tasks that own their ranges; these add up the
+blocks' counts and send back the sums in the block's own order; the block then scores its texts. A word that stands
+everywhere costs a range one number a block, so no range is hot. The exchange has a row for each block and range: for more
+ranges, take larger blocks.
+
+Words are what stands between ASCII blanks, told apart by 55-bit hashes. Defined cases: a null or empty text has no tokens
+and scores 0; without a target document the target model is the uniform one; a null doc_id or flag is no target; repeated
+documents count and score each; texts of any length are counted and scored in pieces that know the word before them; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,127 +24,225 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, utf8, written
-
-BEGIN, VOCABULARY, STRENGTH = 0xFF, 256, 8.0  # 0xFF stands in no UTF-8 text
-CELLS = 1 << 24
-
-
-def codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte the code of the trigram that ends there; begins of texts are padded with BEGIN."""
-    padded = np.full(len(data) + 2 * (len(offsets) - 1), BEGIN, np.uint8)
-    at = np.arange(len(data)) + 2 * (np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) + 1)
-    padded[at] = data
-    wide = padded.astype(np.int32)
-    return ((wide[at - 2] << 16) | (wide[at - 1] << 8) | wide[at]).astype(np.int32)
-
+from textloom.llm.common import blocks, free, mix, prefix_sums, span_hashes, utf8, written
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    every, target = np.zeros(CELLS, np.int32), np.zeros(CELLS, np.int32)
-    for batch in blocks(batches, "text"):
-        data, offsets = utf8(batch.column("text"))
-        found = codes(data, offsets)
-        flagged = np.repeat(batch.column("is_target").fill_null(False).to_numpy(zero_copy_only=False), np.diff(offsets))
-        for table, part in ((every, found), (target, found[flagged])):
-            kinds, counts = np.unique(part, return_counts=True)
-            table[kinds] += counts.astype(np.int32)
-    kinds = np.flatnonzero(every)
-    for i in range(0, len(kinds), 50_000):
-        k = kinds[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(every[k], pa.int64()), pa.array(target[k], pa.int64())], names=["code", "n_all", "n_target"])
+STRENGTH = 8.0
+BLOCK_BYTES = 2 << 20
+BROADCAST_IDS = 1 << 20
+BOUNDARY = np.uint64(0x9D39247E33776D41)  # the hash of the mark at a text's begin and end
+_BLANK = np.zeros(256, bool)
+BLANKS = "\t\n\v\f\r "
+_BLANK[[ord(c) for c in BLANKS]] = True
 
+BLOCK = "block long, row array<long>, doc_id array<long>, is_target array<boolean>, before array<string>, ends array<boolean>, text array<string>"
+PART = "block long, part int, keys binary, n_all binary, n_target binary"
+SUMS = "block long, part int, n_all binary, n_target binary, kinds long, total_all long, total_target long"
+PIECE = "row long, doc_id long, n_tokens long, n_scored long, target double, background double"
 
-def count(flagged: DataFrame) -> DataFrame:
-    """Trigram counts of (text, is_target): code, n_all, n_target; at most 2 ** 24 rows."""
-    rows = flagged.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("is_target").cast("boolean").alias("is_target"))
-    partial = rows.mapInArrow(_count, "code int, n_all long, n_target long")
-    return written(partial.groupBy("code").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target")), "lm-counts")
 
+def _pieces(text: str, most: int) -> Iterator[tuple[str | None, str, bool]]:
+    """(the word before or null, piece, whether it is the last): pieces of about `most` characters, cut at blanks."""
+    before, at = None, 0
+    while len(text) - at > most:
+        cut = max(text.rfind(c, at + 1, at + most) for c in BLANKS)
+        if cut < 0:
+            cut = min((k for k in (text.find(c, at + most) for c in BLANKS) if k >= 0), default=len(text))
+        piece = text[at:cut]
+        yield before, piece, False
+        words = piece.rstrip(BLANKS)
+        before, at = words[max(words.rfind(c) for c in BLANKS) + 1 :] or before, cut
+    yield before, text[at:], True
 
-def log_probabilities(kinds: np.ndarray, counts: np.ndarray, strength: float = STRENGTH) -> np.ndarray:
-    """Log-probability of each trigram in `kinds` (sorted): each order is smoothed towards the next lower, the last towards the uniform."""
-    counts = counts.astype(np.float64)
 
-    def totals(group: np.ndarray) -> np.ndarray:
-        _, inverse = np.unique(group, return_inverse=True)
-        return np.bincount(inverse, counts)[inverse] if len(group) else np.zeros(0)
+def _blocks(limit: int):
+    """Documents to BLOCK rows of at most `limit` characters of text, each piece with the number of its document."""
 
-    one = (totals(kinds & 0xFF) + strength / VOCABULARY) / (counts.sum() + strength)
-    two = (totals(kinds & 0xFFFF) + strength * one) / (totals((kinds >> 8) & 0xFF) + strength)
-    three = (counts + strength * two) / (totals(kinds >> 8) + strength)
-    return np.log(three)
-
-
-def model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes seen (sorted), and their losses under the target and the background."""
-    rows = counts.toArrow().sort_by("code")
-    kinds = rows.column("code").to_numpy().astype(np.int64)
-    loss = [-log_probabilities(kinds, rows.column(c).to_numpy()).astype(np.float32) for c in ("n_target", "n_all")]
-    return kinds.astype(np.int32), *loss
-
-
-def score(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss (means) and score, their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = TaskContext.get().partitionId() << 33
+        block, row, held, size = serial, serial, [], 0
+
+        def made() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*held, strict=True), kinds, strict=True))], names=["block", "row", "doc_id", "is_target", "before", "ends", "text"])
+
+        for batch in blocks(batches, "text", limit):
+            for doc_id, text, flag in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "is_target")), strict=True):
+                for before, piece, last in _pieces(text, limit):
+                    if held and size + len(piece) > limit:
+                        yield made()
+                        block, held, size = block + 1, [], 0
+                    held.append((row, doc_id, flag, before, last, piece))
+                    size += len(piece)
+                row += 1
+        if held:
+            yield made()
+
+    return run
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many each text has."""
+    data, offsets = utf8(texts)
+    count = len(offsets) - 1
+    spaced = np.full(len(data) + count + 1, 32, np.uint8)
+    spaced[np.arange(len(data)) + 1 + np.repeat(np.arange(count), np.diff(offsets))] = data
+    edge = np.flatnonzero(np.diff((~_BLANK[spaced]).astype(np.int8)))
+    starts, ends = edge[::2] + 1, edge[1::2] + 1
+    owner = np.searchsorted(offsets[1:] + np.arange(1, count + 1), starts, "left")
+    return span_hashes(prefix_sums(spaced), starts, ends), np.bincount(owner, minlength=count)
+
+
+class Block:
+    """The n-grams of a block's pieces: `keys`, distinct and sorted, and for each predicted token the places of its word, context and pair in them."""
+
+    def __init__(self, texts: pa.Array, before: pa.Array, ends: np.ndarray):
+        words, self.sizes = word_hashes(texts)
+        first, known = word_hashes(before)
+        lead = np.full(len(known), BOUNDARY)
+        lead[known > 0] = first  # a word before is one word
+        scored = self.sizes + (ends & ((self.sizes > 0) | (known > 0)))
+        self.scored, self.owner = scored, np.repeat(np.arange(len(scored)), scored)
+        begin = np.cumsum(scored) - scored
+        token = np.full(int(scored.sum()), BOUNDARY)
+        token[np.arange(len(words)) + np.repeat(begin - (np.cumsum(self.sizes) - self.sizes), self.sizes)] = words
+        context = np.append(BOUNDARY, token)[: len(token)]
+        heads, some = begin[scored > 0], scored > 0
+        context[heads] = lead[some]
+        odd, even = np.uint64(1), ~np.uint64(1)
+        one = lambda x: (mix(x) >> np.uint64(8)) | odd
+        two = (mix(mix(context) * np.uint64(3) + token) >> np.uint64(8)) & even
+        self.keys, places = np.unique(np.concatenate([one(token), two, one(lead[some])]), return_inverse=True)
+        self.word, self.pair = places[: len(token)], places[len(token) : 2 * len(token)]
+        self.context = np.append(0, self.word)[: len(token)]
+        self.context[heads] = places[2 * len(token) :]
+
+    def counts(self, flags: np.ndarray) -> np.ndarray:
+        """How often each key stands in the flagged pieces."""
+        chosen = flags[self.owner]
+        return np.bincount(np.concatenate([self.word[chosen], self.pair[chosen]]), minlength=len(self.keys))
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned numbers byte by byte, low bytes first, in as many bytes as the largest needs (a leading byte tells it): high ones, mostly 0, compress well."""
+    width = max(1, -(-int(x.max()).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8)[1:].reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _of_row(batch: pa.RecordBatch, i: int) -> tuple[Block, np.ndarray]:
+    value = lambda c: batch.column(c)[i].values
+    flags = value("is_target").to_numpy(zero_copy_only=False).astype(bool)
+    return Block(value("text"), value("before"), value("ends").to_numpy(zero_copy_only=False).astype(bool)), flags
+
+
+def _send(parts: int):
+    """A block's keys and counts, cut at the borders of `parts` equal ranges of keys."""
+    borders = np.array([(k << 56) // parts for k in range(1, parts)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds, *losses = shared.value
-        place = np.zeros(CELLS, np.int32)
-        place[kinds] = np.arange(len(kinds))
-        for batch in blocks(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
-            at, n = place[codes(data, offsets)], np.diff(offsets)
-            means = []
-            for loss in losses:
-                sums = np.concatenate([[0.0], np.cumsum(loss[at], dtype=np.float64)])
-                means.append((sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n.astype(np.int64), *means, means[0] - means[1]))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, flags = _of_row(batch, i)
+                cuts = [0, *np.searchsorted(block.keys, borders).tolist(), len(block.keys)]
+                counts = block.counts(np.ones(len(flags), bool)), block.counts(flags)
+                rows = []
+                for part, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if a < b:
+                        rows.append((part, _planes(np.diff(block.keys[a:b], prepend=np.uint64(0))), *(_planes(c[a:b]) for c in counts)))
+                if rows:
+                    part, *blobs = zip(*rows, strict=True)
+                    name = batch.column("block")[i].as_py()
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.int64()), pa.array(part, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["block", "part", "keys", "n_all", "n_target"])
+        free()
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums over all blocks of one range's keys, for each block in its order; and, in a row of no block, how many words there are and their totals."""
+    names, rows = ["block", "part", "n_all", "n_target", "kinds", "total_all", "total_target"], []
+    for batch in batches:
+        rows += zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys", "n_all", "n_target")), strict=True)
+    rows.sort(key=lambda r: r[:2])
+    at = 0
+    while at < len(rows):
+        stop = at
+        while stop < len(rows) and rows[stop][0] == rows[at][0]:
+            stop += 1
+        keys = [np.cumsum(_numbers(r[2])) for r in rows[at:stop]]
+        sizes = [len(k) for k in keys]
+        kinds, place = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([_numbers(r[k]) for r in rows[at:stop]])).astype(np.int64) for k in (3, 4)]
+        word, begin = kinds & np.uint64(1) == 1, 0
+        one = [1, rows[at][0], int(word.sum()), *(int(s[word].sum()) for s in sums)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([one[1]], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in one[2:])], names=names)
+        for r, size in zip(rows[at:stop], sizes, strict=True):
+            here = place[begin : begin + size]
+            begin += size
+            yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int64()), pa.array([r[0]], pa.int32()), *(pa.array([_planes(s[here])], pa.binary()) for s in sums), *(pa.nulls(1, pa.int64()) for _ in range(3))], names=names)
+        at = stop
+    free()
+
+
+def _losses(block: Block, counts: np.ndarray, total: int, kinds: int, strength: float) -> np.ndarray:
+    """The loss of each predicted token."""
+    single = (counts[block.word] + strength / max(kinds, 1)) / (total + strength)
+    return -np.log((counts[block.pair] + strength * single) / (counts[block.context] + strength))
+
+
+def _score(kinds: int, totals: tuple[int, int], strength: float):
+    """Blocks, each followed by the sums of its keys by range, to the pieces' losses."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result() -> pa.RecordBatch:
+            block, rows, doc_ids, sums = held
+            n_all, n_target = (np.concatenate([_numbers(x) for x in c]) if c else np.zeros(0) for c in zip(*sums, strict=True)) if sums else (np.zeros(0), np.zeros(0))
+            loss = [np.bincount(block.owner, _losses(block, n.astype(np.float64), t, kinds, strength), minlength=len(block.sizes)) for n, t in ((n_target, totals[1]), (n_all, totals[0]))]
+            return pa.RecordBatch.from_arrays([rows, doc_ids, pa.array(block.sizes, pa.int64()), pa.array(block.scored, pa.int64()), *map(pa.array, loss)], names=["row", "doc_id", "n_tokens", "n_scored", "target", "background"])
+
+        held = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("part")[i].as_py() < 0:
+                    if held:
+                        yield result()
+                    held = (_of_row(batch, i)[0], batch.column("row")[i].values, batch.column("doc_id")[i].values, [])
+                else:
+                    held[3].append((batch.column("n_all")[i].as_py(), batch.column("n_target")[i].as_py()))
+        if held:
+            yield result()
+        free()
+
+    return run
+
+
+def cross_entropy_difference(docs: DataFrame, targets: DataFrame, strength: float = STRENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Score all documents against the target documents, given by the doc_id column of `targets`.
+
+    doc_id, n_tokens (words), target_loss, background_loss (means over words and end) and score, their difference.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = targets.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    small = chosen.count() <= BROADCAST_IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Score all documents against the target documents, given by the doc_id column of `targets`."""
-    # one kind of join at every size: texts are dealt by doc_id however small the list of targets is
-    chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    return score(docs, model(count(docs.select("doc_id", "text").join(chosen.hint("merge"), "doc_id", "left"))))
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """A row for each word: the columns other than `words`, v (the word before, 0 at a text's begin), w and their hash g."""
-    before = F.concat(F.array(F.lit(0).cast("long")), F.expr("slice(words, 1, size(words) - 1)"))
-    out = rows.where(F.size("words") > 0).withColumn("p", F.explode(F.arrays_zip(before.alias("v"), F.col("words").alias("w")))).drop("words")
-    return out.select("*", "p.v", "p.w", F.xxhash64("p.v", "p.w").alias("g")).drop("p")
-
-
-def word_model(rows: DataFrame, strength: float = STRENGTH) -> DataFrame:
-    """(g, target_loss, background_loss) of each pair of words in (is_target, words): the distributed model, a row for each pair seen."""
-    n = [F.count("*").alias("n_all"), F.count_if("is_target").alias("n_target")]
-    counts = written(_pairs(rows.select("is_target", "words")).groupBy("g", "v", "w").agg(*n), "lm-pairs")
-    one, context = (counts.groupBy(c).agg(F.sum("n_all").alias(f"{c}_all"), F.sum("n_target").alias(f"{c}_target")) for c in ("w", "v"))
-    one = written(one, "lm-words")
-    kinds, *totals = one.agg(F.count("*"), F.sum("w_all"), F.sum("w_target")).first()
-
-    def loss(name: str, total: int):
-        single = (F.col(f"w_{name}") + strength / kinds) / (total + strength)
-        return -F.log((F.col(f"n_{name}") + strength * single) / (F.col(f"v_{name}") + strength))
-
-    losses = [loss(name, total or 0).alias(alias) for name, total, alias in (("target", totals[1], "target_loss"), ("all", totals[0], "background_loss"))] if kinds else [F.lit(0.0).alias(c) for c in ("target_loss", "background_loss")]
-    return counts.join(one, "w").join(context, "v").select("g", *losses)
-
-
-def word_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """As cross_entropy_difference, over pairs of words; n_tokens counts words. Rows of one doc_id score each."""
-    chosen = targets.select("doc_id").where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
-    split = F.transform(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"\s+"), lambda x: x != ""), lambda x: F.xxhash64(x))
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), split.alias("words")).join(chosen, "doc_id", "left")
-    rows = written(flagged.select("doc_id", "words", F.coalesce("is_target", F.lit(False)).alias("is_target")).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    found = _pairs(rows.select("row", "words")).select("row", "g").join(word_model(rows), "g")
-    sums = found.groupBy("row").agg(F.avg("target_loss").alias("target_loss"), F.avg("background_loss").alias("background_loss"))
-    out = rows.select("row", "doc_id", F.size("words").cast("long").alias("n_tokens")).join(sums, "row", "left")
-    means = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("target_loss", "background_loss")]
-    return out.select("doc_id", "n_tokens", *means).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    flagged = rows.join(F.broadcast(chosen) if small else chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    held = written(flagged.mapInArrow(_blocks(block_bytes), BLOCK), "lm-blocks", "zstd")
+    sent = held.mapInArrow(_send(n), PART)
+    sums = written(sent.repartitionById(n, F.col("part")).mapInArrow(_add, SUMS), "lm-sums", "zstd")
+    kinds, *totals = sums.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "total_all", "total_target"))).first()
+    whole = held.withColumn("part", F.lit(-1)).unionByName(sums.where("block is not null").select("block", "part", "n_all", "n_target"), allowMissingColumns=True)
+    pieces = whole.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(_score(kinds, tuple(totals), strength), PIECE)
+    each = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_scored", "target", "background")))
+    mean = lambda c: (F.col(c) / F.greatest("n_scored", F.lit(1))).alias(f"{c}_loss")
+    return each.select("doc_id", "n_tokens", mean("target"), mean("background")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
