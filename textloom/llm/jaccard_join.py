@@ -5,8 +5,8 @@ joined. Shingles have a global order: rare ones first, then frequent ones, each
 slack = size - ceil(threshold * size) of its shingles in any partner, so it indexes a prefix of that order that stays
 covered when any `slack` shingles go: a rare shingle covers one by itself; frequent shingles are dealt into groups, cover
 all but one of each group, and are indexed as pairs within a group. Linked classes therefore share an indexed key. The
-number of groups depends on the size class, and a class is also indexed under the next size class where a partner can be
-in it.
+number of groups depends on the size class, and a class is also indexed under all larger size classes where a partner can
+be.
 
 Frequency is told by a table of counters of fixed size over all documents: it decides only how shingles are indexed.
 
@@ -16,7 +16,9 @@ class; then all pairs of one key that are still in different components are test
 
 Defined cases: null and empty texts, and texts without words, have size 0 and link with nothing; with fewer than n words
 the sequence is one shingle; repeated rows link (equal sets); a null doc_id links but is never the name of a component; an
-empty table gives no rows. Other columns are ignored.
+empty table gives no rows; thresholds under a quarter are refused. Other columns are ignored.
+
+Sets and shingles are named by 64-bit hashes: of n different sets two share a name with a probability of n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, free, mix, prefix_sums, span_hashes, utf8, written
+from textloom.llm.common import blocks, free, may_be_member, members, mix, prefix_sums, span_hashes, utf8, written
 from textloom.llm.components import connected
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -115,8 +117,9 @@ def _survey(n: int):
             bits = bitmaps(text, found, count)
             nulls = pa.nulls(count, pa.int32()), pa.nulls(count, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(sizes, pa.int64()), pa.array(names.view(np.int64), mask=sizes == 0), bits, *nulls], names=[*_SURVEY])
-        raw = np.minimum(counters, 255).astype(np.uint8).reshape(SKETCH_PARTS, -1)
-        last = {"part": pa.array(np.arange(SKETCH_PARTS), pa.int32()), "counts": pa.array([x.tobytes() for x in raw], pa.binary())}
+        parts = np.minimum(counters, 65535).astype("<u2").reshape(SKETCH_PARTS, -1)
+        planes = [x.view(np.uint8).reshape(-1, 2).T.tobytes() for x in parts]  # low bytes, then high ones, which are mostly 0
+        last = {"part": pa.array(np.arange(SKETCH_PARTS), pa.int32()), "counts": pa.array(planes, pa.binary())}
         yield pa.RecordBatch.from_arrays([last.get(k, pa.nulls(SKETCH_PARTS, t)) for k, t in _SURVEY.items()], names=[*_SURVEY])
 
     return run
@@ -126,8 +129,8 @@ def _sum_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, raw in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            values = np.frombuffer(raw, np.uint8)
-            sums[part] = values + sums.get(part, np.zeros(len(values), np.uint32))
+            low, high = np.frombuffer(raw, np.uint8).reshape(2, -1).astype(np.uint32)
+            sums[part] = low + (high << np.uint32(8)) + sums.get(part, np.zeros(len(low), np.uint32))
     if sums:
         yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
@@ -152,7 +155,7 @@ def signatures(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> t
     n = len(found)
     slack = n - -(-num * n // den)
     keys, places = [], []
-    for regime in {size_class(n), size_class(n * den // num)}:
+    for regime in range(size_class(n), size_class(n * den // num) + 1):
         salt = np.uint64((0xA24BAED4963EE407 * (regime + 1)) % (1 << 64))
         if regime == 0:
             keys.append(mix(found[: slack + 1] + salt))
@@ -166,7 +169,8 @@ def signatures(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> t
         if need <= 0:
             continue
         low = SMALL << (regime - 1)
-        groups = np.uint64(max(1, low - -(-num * low // den)))
+        least = -(-num * low // den)  # the smallest set indexed here: its shingles must cover its prefix in so many groups
+        groups = np.uint64(max(1, min(low - least, -(-num * least // den) - 1)))
         group = mix(often) % groups
         _, head = np.unique(group, return_index=True)
         covers = np.ones(len(often), np.int64)
@@ -245,16 +249,14 @@ def _lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     free()
 
 
-def _sets(shared, bits: int, n: int):
+def _sets(shared, n: int):
     """The sets of classes whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(shared.value, np.uint8)
         for batch in blocks(batches, "text", 1 << 20):
             text, found = shingles(*utf8(batch.column("text")), n)
             names = digests(text, found, batch.num_rows)
-            at = (names >> np.uint64(64 - bits)).astype(np.int64)
-            good = (wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            good = may_be_member(names, shared.value)
             _, once = np.unique(names, return_index=True)
             first = np.zeros(len(names), bool)
             first[once] = True
@@ -268,15 +270,13 @@ def _sets(shared, bits: int, n: int):
     return run
 
 
-def row_key() -> Column:
-    """A name for a row's doc_id and text."""
-    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
-
-
 class Join:
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int):
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, row: str | None):
+        if not 0 < den <= 4 * num <= 4 * den:
+            raise ValueError("the threshold must be a quarter at least, and 1 at most")
         self.spark, self.n, self.num, self.den = docs.sparkSession, n, num, den
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        key = (F.col(row) if row else F.lit(None)).cast("long")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("row_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         ddl = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
         self.survey = written(self.docs.mapInArrow(_survey(n), ", ".join(f"{k} {ddl[t]}" for k, t in _SURVEY.items())), "jaccard-survey")
         self.rows = self.survey.where("part is null")
@@ -290,7 +290,9 @@ class Join:
         shared = self.spark.sparkContext.broadcast(frequent_table(self.survey))
         rows = self.docs.select("text").mapInArrow(_index(shared, self.n, self.num, self.den), "key long, node long")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return written(rows.repartition(parts, F.shiftright("key", PLACE_BITS)).mapInArrow(_lead, "key long, node long, leader long"), "jaccard-keys")
+        out = written(rows.repartition(parts, F.shiftright("key", PLACE_BITS)).mapInArrow(_lead, "key long, node long, leader long"), "jaccard-keys")
+        shared.destroy()
+        return out
 
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return (F.least(a, b) * self.den) >= (F.greatest(a, b) * self.num)
@@ -304,17 +306,13 @@ class Join:
         return self.sizes_fit(F.col(f"{a}.n"), F.col(f"{b}.n")) & (differ * (self.den + self.num) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (self.den - self.num))
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
-        """The sets of the classes in (a, b). The documents are read again; a bitmap of 16 bits a class or more (2 ** 30 at most) tells which sets to send. A set that it lets by in error joins with nothing."""
+        """The sets of the classes in (a, b). The documents are read again; a bitmap tells which sets to send. A set that it lets by in error joins with nothing."""
         nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "jaccard-nodes")
-        bits = min(30, max(15, int(16 * nodes.count()).bit_length()))
-        at = nodes.select((F.shiftrightunsigned("node", 64 - bits) + 1).alias("at"))
-        parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-        wanted = np.zeros((max(1, (1 << bits) // 32768), 4096), np.uint8)
-        for part, raw in parts:
-            wanted[part - 1] = np.frombuffer(raw, np.uint8)
-        shared = self.spark.sparkContext.broadcast(wanted.tobytes())
-        sets = self.docs.mapInArrow(_sets(shared, bits, self.n), "node long, shingles array<long>")
-        return written(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+        shared = self.spark.sparkContext.broadcast(members(nodes.select(F.col("node").alias("hash"))))
+        sets = self.docs.mapInArrow(_sets(shared, self.n), "node long, shingles array<long>")
+        out = written(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "jaccard-sets")
+        shared.destroy()
+        return out
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose whole sets are similar enough."""
@@ -362,12 +360,13 @@ class Join:
         return written(both.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select(*pairs.columns), "jaccard-left")
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, row: str | None = None) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the least doc_id that links reach), row_key, class_id (equal for equal sets) and component_key (the least class_id); both are null without words.
 
+    `row` names a column of long numbers that is returned as row_key, for a caller that must tell rows of one doc_id apart.
     Documents link when den * intersection >= num * union of their sets of distinct n-word shingles.
     """
-    join = Join(docs, n, num, den)
+    join = Join(docs, n, num, den, row)
     labels = join.components()
     rows = join.rows.select("doc_id", "row_key", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
