@@ -38,9 +38,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+PASSAGE = 200  # bytes: 51 words of three letters and their blanks are longer
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """n_repeated: bytes inside repeats of PASSAGE bytes, which are told but not removed."""
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,42 +59,39 @@ def sampled_suffixes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, len
 class IndexFamily:
     """Sorted suffix arrays of geometrically growing sizes.
 
-    add() sorts a batch into a suffix array of its own, and merges levels while the last two are of similar size, so each
-    entry is merged a logarithmic number of times. scan() tells which entries of a batch have an equal key in a level.
-    Keys are fingerprints of the suffixes' first bytes: any order that keeps equal beginnings together serves.
+    add() sorts a batch into a suffix array of its own and scans it against every level: entries that some level or the
+    batch itself has again are matches, and so is the level's entry. Entries that no level has yet become a level of their own,
+    one for each key, and levels of similar size merge, so each entry is merged a logarithmic number of times. Keys are
+    fingerprints of the suffixes' first bytes: any order that keeps equal beginnings together serves.
     """
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, ...]] = []
-
-    @staticmethod
-    def _sorted(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        order = np.lexsort(columns[1::-1]) if len(columns) > 1 else np.argsort(columns[0])
-        return tuple(c[order] for c in columns)
-
-    @staticmethod
-    def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """Both are sorted by their first column; a stable sort of two runs is a merge."""
-        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
-        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
-
-    def scan(self, keys: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(keys), bool)
+        self.levels: list[tuple[np.ndarray, ...]] = []  # key, whether it has been a match, further columns
+
+    def add(self, key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """Which entries are matches, the numbers of those that enter the family, and the columns of older entries that are matches from now on."""
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        kinds, many = key[head], np.diff(np.append(head, len(key)))
+        known, again = np.zeros(len(kinds), bool), []
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level[0], keys), len(level[0]) - 1)
-            found |= level[0][at] == keys
-        return found
-
-    def add(self, *columns: np.ndarray) -> None:
-        if not len(columns[0]):
-            return
-        self.levels.append(self._sorted(columns))
+            at = np.minimum(np.searchsorted(level[0], kinds), len(level[0]) - 1)
+            same = level[0][at] == kinds
+            known |= same
+            woken = at[same][~level[1][at[same]]]
+            level[1][woken] = True
+            again.append(tuple(c[woken] for c in level[2:]))
+        matched = np.zeros(len(key), bool)
+        matched[order] = np.repeat(known | (many > 1), many)
+        new = order[head[~known]]
+        if len(new):
+            self._push((kinds[~known], (many > 1)[~known], *(c[new] for c in columns)))
+        return matched, new, tuple(np.concatenate(c) for c in zip(*again, strict=True)) if again else tuple(c[:0] for c in columns)
+
+    def _push(self, level: tuple[np.ndarray, ...]) -> None:
+        self.levels.append(level)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._merged(a, b))
-
-    def all(self) -> tuple[np.ndarray, ...] | None:
-        while len(self.levels) > 1:
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._merged(a, b))
-        return self.levels[0] if self.levels else None
+            order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")  # of two sorted runs: a merge
+            self.levels.append(tuple(np.concatenate(c)[order] for c in zip(a, b, strict=True)))
