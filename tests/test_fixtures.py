@@ -1,9 +1,11 @@
 """Small cases with results worked out by hand."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from textloom.functions import chain, sentences, wikitext
-from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, sampling, splits
+from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, sampling, splits, trees
 from textloom.plans.table_queries import FOX, dep_tree_rows, graph_centrality, graph_edges
 
 
@@ -93,7 +95,7 @@ def test_split(spark):
 def test_roc(spark):
     curve = evaluate.roc(spark.createDataFrame([(0.9, 1), (0.8, 0), (0.4, 1), (0.1, 0)], "score double, truth long"))
     assert sorted((r.fpr, r.tpr) for r in curve.collect()) == [(0, 0), (0, 0.5), (0.5, 0.5), (0.5, 1), (1, 1)]
-    assert evaluate.auc(curve).first().auc == 0.75
+    assert evaluate.auc(spark.createDataFrame([(0.9, 1), (0.8, 0), (0.4, 1), (0.1, 0)], "score double, truth long")).first().auc == 0.75
     assert tuple(evaluate.cut(curve).first()) == (0.9, 0.5)
 
 
@@ -108,25 +110,50 @@ def test_encoding(spark):
 def test_tree(spark):
     rows = dep_tree_rows(spark, "")
     assert [(r.word, r.pos, r.head, r.rel) for r in rows.orderBy("idx").collect()] == FOX
-    ends = spark.createDataFrame([(1, 1, 4), (1, 2, 9)], "sentence_id long, side int, idx long")
-    got = graph.branches(graph.root_paths(rows, ends, "sentence_id"), rows, "sentence_id").first()
-    assert (got.lca, got.path1, got.path2) == (5, "fox/jumps", "dog/jumps")
+    packed = trees.trees(rows, "sentence_id").withColumn("entity1", F.lit("The quick fox")).withColumn("entity2", F.lit("lazy dog"))
+    got = trees.branches(trees.located(packed, "entity1", "entity2"), "at1", "at2").first()
+    assert (got.at1, got.at2, got.lca, got.word_path1, got.word_path2) == (4, 9, 5, "fox/jumps", "dog/jumps")
+    assert (got.dep_path1, got.dep_path2, got.pos_path1, got.pos_path2) == ("nsubj/ROOT", "nmod/ROOT", "NN/VBZ", "NN/VBZ")
+    missing = packed.withColumn("entity2", F.lit("Apollo 11"))
+    got = trees.branches(trees.located(missing, "entity1", "entity2"), "at1", "at2").first()
+    assert got.at2 is None and got.word_path1 is None and got.pos_path2 is None
+    assert one(spark, "Côtes-d'Armor", trees.last_token) == "Armor" and one(spark, "Apollo 11", trees.last_token) is None
 
 
 def test_deep_tree(spark):
     heads = {1: 0} | {i: i - 1 for i in range(2, 72)} | {72: 1} | {i: i - 1 for i in range(73, 142)} | {200: 201, 201: 200}
     tokens = spark.createDataFrame([(1, i, h, f"w{i}") for i, h in heads.items()], "k long, idx long, head long, word string")
-    ends = spark.createDataFrame([(1, 1, 71), (1, 2, 141)], "k long, side int, idx long")
-    got = graph.branches(graph.root_paths(tokens, ends, "k"), tokens, "k").first()
-    assert (got.lca, got.path1.count("/"), got.path2.count("/")) == (1, 70, 70) and got.path2.startswith("w141/w140/")
-    ring = graph.root_paths(tokens, spark.createDataFrame([(1, 1, 200)], "k long, side int, idx long"), "k")
-    assert [r.node for r in ring.orderBy("steps").collect()] == [200, 201]
+    at = lambda a, b: trees.branches(trees.trees(tokens, "k").withColumn("a", F.lit(a).cast("long")).withColumn("b", F.lit(b).cast("long")), "a", "b").first()
+    got = at(71, 141)
+    assert (got.lca, got.word_path1.count("/"), got.word_path2.count("/")) == (1, 70, 70) and got.word_path2.startswith("w141/w140/")
+    assert (at(200, 201).lca, at(200, 201).word_path1, at(200, 5).lca, at(999, 5).word_path2) == (200, "w200", None, None)
 
 
 def test_shortest_path(spark):
     e = graph.edges(spark.createDataFrame([(1, 1, 2), (1, 2, 0), (1, 3, 2)], "k long, idx long, head long"), "k")
-    packed = e.groupBy("k").agg(F.collect_list(F.struct("u", "v", "weight")).alias("edges")).select("k", "edges", F.lit(1).cast("long").alias("a"), F.lit(3).cast("long").alias("b"))
-    assert tuple(graph.shortest_paths(packed, "k").first()) == (1, "2", 0.4)
+    ask = F.expr("array(named_struct('pair', 'x', 'a', 1L, 'b', 3L), named_struct('pair', 'y', 'a', 1L, 'b', 9L))")
+    packed = e.groupBy("k").agg(F.collect_list(F.struct("u", "v", "weight")).alias("edges")).select("k", "edges", ask.alias("asks"))
+    assert [tuple(r) for r in graph.shortest_paths(packed, "k").collect()] == [(1, "x", "2", 0.4, [2]), (1, "y", None, None, None)]
+
+
+def test_lightest_path():
+    """Against all simple paths of random graphs: the least (weight, length, nodes)."""
+    r = random.Random(4)
+    for _ in range(60):
+        near = graph._graph(*zip(*[(r.randint(1, 7), r.randint(8, 12), 1.0)] + [(a, b, r.choice((0.2, 0.4, 1.0))) for a in range(1, 8) for b in range(a + 1, 8) if r.random() < 0.5]))
+
+        def ways(at, end, done, near=near):
+            if at == end:
+                yield [end]
+            for v in near[at]:
+                if v not in done and at != end:
+                    yield from ([at, *w] for w in ways(v, end, done | {v}))
+
+        for a in range(1, 8):
+            for b in range(1, 8):
+                if a != b and a in near and b in near:
+                    all_ways = [(round(sum(near[x][y] for x, y in zip(w, w[1:])), 9), len(w), w) for w in ways(a, b, {a})]
+                    assert graph._lightest(near, a, b) == (min(all_ways)[2] if all_ways else None)
 
 
 def test_centrality_of_documents(spark, tmp_path):
@@ -135,7 +162,7 @@ def test_centrality_of_documents(spark, tmp_path):
     spark.createDataFrame([(7, "x y z.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.sid, r.node) for r in graph_centrality(spark, str(tmp_path)).collect()}
     want = {(r.sid, n) for r in graph_edges(spark, str(tmp_path)).collect() for n in (r.u, r.v)}
-    assert got == want and len({n for s, n in got if s // 100000 == 2}) == 120
+    assert got == want and len({n for s, n in got if s >> 31 == 2}) == 120
 
 
 def test_kb(spark):

@@ -3,10 +3,10 @@
 import compare
 import pytest
 
-from textloom.plans import table_queries, text_queries
+from textloom.plans import feature_queries, table_queries, text_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = text_queries.QUERIES | table_queries.QUERIES
+QUERIES = text_queries.QUERIES | table_queries.QUERIES | feature_queries.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -1,31 +1,82 @@
-"""Sentence segmentation: dots that end no sentence are masked, boundaries are marked, the text is split."""
+"""Sentence segmentation.
+
+A text is cut into atoms, each up to and with a sign `.`, `?` or `!`. Every sign ends a sentence, but for a dot that belongs
+to what stands around it: a title, a web address, "Ph.D.", initials (two or more letters that each have a dot), a company's
+or a name's suffix, or a number. Such a dot ends a sentence only if a blank and a capital follow. Whether a dot is one of these is told
+from its atom and the atoms beside it, so a text is read once.
+
+MARK stands between sentences while they are put together; a text's own U+E000 is a cut, too.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.chain import regex, run, text
+from textloom.operators.running import running_total
 
-_LETTER = "([A-Za-z])"
-STOP, DOT = "<stop>", "<prd>"
+MARK = ""
+ATOM = "[^.?!]*[.?!]|[^.?!]+"
+# Words whose dot ends no sentence.
+TITLES = ("Mr", "St", "Mrs", "Ms", "Dr", "Prof", "Capt", "Cpt", "Lt", "Mt")
+DOMAINS = ("com", "net", "org", "io", "gov", "me", "edu")
+SUFFIXES = ("Inc", "Ltd", "Jr", "Sr", "Co")
+TITLE, DOMAIN, SUFFIX = f"(?:{'|'.join(TITLES)})[.]$", f"^(?:{'|'.join(DOMAINS)})", f" (?:{'|'.join(SUFFIXES)})[.]$"
+LETTER, LONE, DEGREE, DIGIT, OPENING = "[A-Za-z][.]$", "^[A-Za-z][.]$", "Ph[.]$", "[0-9][.]$", r"^\s[A-Z]"
 
 
-def _letters(n: int) -> tuple[str, str]:
-    return "[.]".join([_LETTER] * n) + "[.]", "".join(f"${i}{DOT}" for i in range(1, n + 1))
+def _true(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
 
 
-SPLIT = (
-    regex((r"(Mr|St|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|Mt)[.]", f"$1{DOT}"), (r"[.](com|net|org|io|gov|me|edu)", f"{DOT}$1"), (r"Ph.D.", f"Ph{DOT}D{DOT}"), *map(_letters, (5, 4, 3, 2)), (r" (Inc|Ltd|Jr|Sr|Co)[.]", f" $1{DOT}"))
-    + regex((r"([0-9])[.]([0-9])", f"$1{DOT}$2")) * 2
-    + regex((rf"({DOT})(\s[A-Z])", f"$1{STOP}$2"))
-    + text((".", f".{STOP}"), ("?", f"?{STOP}"), ("!", f"!{STOP}"), (DOT, "."))
-)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row: as the one element of an array."""
+    return F.transform(F.array(value), body)[0]
 
 
 def pieces(column: Column) -> Column:
-    """All pieces in order, the empty last one too."""
-    return F.split(run(column, SPLIT), STOP)
+    """All sentences in order, the empty one after a last sign too; null for a null text."""
+
+    def of_atoms(atoms: Column) -> Column:
+        def of_word(a: Column, i: Column) -> Column:
+            before, after = F.get(atoms, i - 1), F.get(atoms, i + 1)
+            degree = (a.rlike(DEGREE) & (after == "D.")) | ((a == "D.") & before.rlike(DEGREE))
+            return a.endswith(".") & (a.rlike(TITLE) | _true(after.rlike(DOMAIN)) | _true(degree))
+
+        def of_words(word: Column) -> Column:
+            def of_initials(initial: Column) -> Column:
+                def ended(a: Column, i: Column) -> Column:
+                    after = F.get(atoms, i + 1)
+                    initials = F.get(initial, i) & (_true(F.get(initial, i + 1) & after.rlike(LONE)) | _true(F.get(initial, i - 1) & a.rlike(LONE)))
+                    kept = a.endswith(".") & (F.get(word, i) | initials | a.rlike(SUFFIX) | _true(a.rlike(DIGIT) & after.rlike("^[0-9]")))
+                    return F.when(a.rlike("[.?!]$") & (~kept | _true(after.rlike(OPENING))), F.concat(a, F.lit(MARK))).otherwise(a)
+
+                return F.split(F.array_join(F.transform(atoms, ended), ""), MARK)
+
+            return _let(F.zip_with(atoms, word, lambda a, w: a.rlike(LETTER) & ~w), of_initials)
+
+        return _let(F.transform(atoms, of_word), of_words)
+
+    return _let(F.regexp_extract_all(column, F.lit(ATOM), F.lit(0)), of_atoms)
+
+
+def _sql() -> str:
+    """The same rules for DuckDB, over rows of atoms: tables cut and sents (doc_id, text, sentence, pos)."""
+    return rf"""atoms AS (SELECT doc_id, unnest(regexp_extract_all(text, '{ATOM}')) AS a, generate_subscripts(regexp_extract_all(text, '{ATOM}'), 1) AS i FROM documents),
+sides AS (SELECT *, lag(a) OVER w AS before, lead(a) OVER w AS after FROM atoms WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+word AS (SELECT *, regexp_matches(a, '{TITLE}') OR (ends_with(a, '.') AND regexp_matches(coalesce(after, ''), '{DOMAIN}')) OR (regexp_matches(a, '{DEGREE}') AND coalesce(after, '') = 'D.') OR (a = 'D.' AND regexp_matches(coalesce(before, ''), '{DEGREE}')) AS word FROM sides),
+letters AS (SELECT *, regexp_matches(a, '{LETTER}') AND NOT word AS initial FROM word),
+near AS (SELECT *, lag(initial, 1, false) OVER w AS before_initial, lead(initial, 1, false) OVER w AS after_initial FROM letters WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ends AS (SELECT doc_id, i, a, (regexp_matches(a, '[.?!]$') AND (regexp_matches(coalesce(after, ''), '{OPENING}') OR NOT (word OR regexp_matches(a, '{SUFFIX}') OR (regexp_matches(a, '{DIGIT}') AND regexp_matches(coalesce(after, ''), '^[0-9]'))
+  OR (initial AND ((after_initial AND regexp_matches(coalesce(after, ''), '{LONE}')) OR (before_initial AND regexp_matches(a, '{LONE}')))))))::INT AS ended FROM near),
+cut AS (SELECT *, coalesce(sum(ended) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM ends),
+parts AS (SELECT doc_id, pos, string_agg(a, '' ORDER BY i) AS sentence FROM cut GROUP BY ALL UNION ALL SELECT doc_id, sum(ended)::BIGINT, '' FROM cut GROUP BY 1 HAVING max_by(ended, i) = 1 UNION ALL SELECT doc_id, 0::BIGINT, '' FROM documents WHERE text = ''),
+sents AS (SELECT doc_id, text, sentence, pos FROM parts JOIN documents USING (doc_id))"""
+
+
+SQL = _sql()
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
@@ -36,8 +87,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", column: str = "text") -> Dat
 
 
 def numbered(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Adds sent_id, a running number in order of (key, pos), and preceding_sent. The number of a sentence is its document's first and pos, so only one row a document is ordered globally."""
-    sizes = found.groupBy(key).agg(F.count("*").alias("_n"))
-    first = sizes.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """Adds sent_id, a running number in order of (key, pos), and preceding_sent. The number of a sentence is its document's first and pos; only one row a document is ordered, in ranges."""
+    first = running_total(found.groupBy(key).agg(F.count("*").alias("_n")), [key], "_n", "_first", before=True).drop("_n")
     out = found.join(first, key).withColumn("sent_id", (F.col("_first") + F.col("pos") + 1).cast("long"))
-    return out.withColumn("preceding_sent", F.when(F.col("sent_id") > 1, F.col("sent_id") - 1)).drop("_n", "_first")
+    return out.withColumn("preceding_sent", F.when(F.col("sent_id") > 1, F.col("sent_id") - 1)).drop("_first")

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.running import running_total
+
 
 def roc(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    """(threshold, fpr, tpr) from the highest score down, with a first point (null, 0, 0). Rows are counted a score before they are ordered."""
-    at = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = at.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    curve = at.select("threshold", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp")).join(F.broadcast(total))
-    curve = curve.select(F.col("threshold").cast("double").alias("threshold"), (F.col("fp") / F.col("all_neg")).alias("fpr"), (F.col("tp") / F.col("all_pos")).alias("tpr"))
+    """(threshold, fpr, tpr) from the highest score down, with a first point (null, 0, 0). Rows are counted a score before they are ordered, in ranges."""
+    at = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(truth).alias("tp"), F.sum(1 - F.col(truth)).alias("fp"))
+    down = [F.col("threshold").desc()]
+    total = at.agg(F.sum("tp").alias("all_pos"), F.sum("fp").alias("all_neg"))
+    curve = running_total(running_total(at, down, "tp", "tps"), down, "fp", "fps").join(F.broadcast(total))
+    curve = curve.select(F.col("threshold").cast("double").alias("threshold"), (F.col("fps") / F.col("all_neg")).alias("fpr"), (F.col("tps") / F.col("all_pos")).alias("tpr"))
     return curve.unionByName(scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double"))
 
 
-def auc(curve: DataFrame) -> DataFrame:
-    w = Window.orderBy("fpr", "tpr")
-    steps = curve.select((F.col("fpr") - F.lag("fpr").over(w)).alias("w"), ((F.col("tpr") + F.lag("tpr").over(w)) / 2).alias("h"))
-    return steps.agg(F.round(F.sum(F.col("w") * F.col("h")), 6).alias("auc"))
+def auc(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
+    """The area under the curve: over thresholds, the negatives there times the mean of positives above and down to there."""
+    at = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(truth).alias("tp"), F.sum(1 - F.col(truth)).alias("fp"))
+    area = F.sum(F.col("fp") * (F.col("tps") - F.col("tp") / 2)) / (F.sum("fp") * F.sum("tp"))
+    return running_total(at, [F.col("threshold").desc()], "tp", "tps").agg(F.round(area, 6).alias("auc"))
 
 
 def cut(curve: DataFrame) -> DataFrame:
@@ -49,6 +52,17 @@ def averages(by_class: DataFrame) -> DataFrame:
     return macro.unionByName(weighted)
 
 
+def decoded(scores: Column, names: tuple[str, ...]) -> Column:
+    """The name of the greatest of an array of scores; of equal ones the first."""
+    return F.get(F.array(*map(F.lit, names)), F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+
+
+def routed(rows: DataFrame, predicted: DataFrame, key: str, none: str = "None") -> tuple[DataFrame, DataFrame]:
+    """The rows whose prediction (key, predicted) is a relation, and those whose is none; rows without a prediction are in neither."""
+    of = lambda c: predicted.where(c).select(key).distinct()
+    return rows.join(of(F.col("predicted") != none), key, "left_semi"), rows.join(of(F.col("predicted") == none), key, "left_semi")
+
+
 def cascade(score: Column, predicted: Column, threshold: float = 0.2) -> Column:
     """The classifier's label above the detector's threshold (strictly), else "None"."""
     return F.when(score > threshold, predicted).otherwise("None")

@@ -6,7 +6,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +35,34 @@ def collapsed(tokens: DataFrame, *keys: str) -> DataFrame:
     return new.withColumn("kept", F.last("_new", True).over(w)).drop("_new")
 
 
-def find(words: Column, part: Column) -> Column:
-    """All places (from 1) where an array holds another."""
-    last = F.size(words) - F.size(part) + 1
-    return F.when((F.size(part) > 0) & (last > 0), F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(words, i, F.size(part)) == part)).otherwise(F.array().cast("array<int>"))
+BLANK, SLACK = " ", 3  # fixed values: what a blanked duplicate reads, and how many a found part may hold
+
+
+def blanked(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Tokens whose word repeats the one before read BLANK, so that a part is found over them."""
+    return collapsed(tokens, *keys).withColumn("word", F.when(F.col("kept") == F.col("idx"), F.col("word")).otherwise(BLANK)).drop("kept")
+
+
+def find(words: Column, part: Column, slack: int = SLACK) -> Column:
+    """All places where an array holds another, as (first, last) from 1; up to `slack` blanked duplicates may stand in between, and the shortest stretch counts."""
+    at = lambda i, more: F.slice(words, i, F.size(part) + more)
+    length = lambda i: F.coalesce(*(F.when(F.filter(at(i, k), lambda w: w != BLANK) == part, F.size(part) + k) if k else F.when(at(i, 0) == part, F.size(part)) for k in range(slack + 1)))
+    none = F.array().cast("array<struct<first: int, last: int>>")
+    found = F.transform(F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (F.get(words, i - 1) == F.get(part, 0)) & length(i).isNotNull()), lambda i: F.struct(i.alias("first"), F.least(i + length(i) - 1, F.size(words)).alias("last")))
+    return F.when((F.size(part) > 0) & (F.size(words) > 0), found).otherwise(none)
+
+
+def kept_split(items: Column, sign: str) -> Column:
+    """Items cut after every `sign`, which stays with what is before it."""
+    cut = lambda x: F.split(x, f"\\Q{sign}\\E", -1)
+    return F.flatten(F.transform(items, lambda x: F.transform(cut(x), lambda p, i: F.when(i < F.size(cut(x)) - 1, F.concat(p, F.lit(sign))).otherwise(p))))
+
+
+def without_signs(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Tokens without those of relation "punct" of one character; what depends on one of these depends on its head instead."""
+    sign = (F.col("rel") == "punct") & (F.length("word") < 2)
+    signs = tokens.where(sign).select(*keys, F.col("idx").alias("head"), F.col("head").alias("_up"))
+    return tokens.where(~sign).join(signs, [*keys, "head"], "left").withColumn("head", F.coalesce("_up", "head")).select(*tokens.columns)
 
 
 def longest(spans: DataFrame, *keys: str) -> DataFrame:
@@ -56,84 +80,105 @@ def edges(tokens: DataFrame, *keys: str) -> DataFrame:
 
 
 def contracted(tokens: DataFrame, spans: DataFrame, *keys: str) -> DataFrame:
-    """Tokens with the members of a span (keys, first, last) turned into its first."""
-    s = spans.select(*keys, F.col("first").alias("_f"), F.col("last").alias("_l"))
-    hit = tokens.join(s, [*keys], "left").where("_f IS NULL OR idx BETWEEN _f AND _l").groupBy(*keys, "idx").agg(F.min("_f").alias("node"))
-    return tokens.join(hit, [*keys, "idx"], "left").withColumn("node", F.coalesce("node", "idx"))
+    """Tokens with `node`: the first idx of the span (keys, first, last) that holds a token, else the first of a run of equal words, else its own. Of spans that overlap the one of the least first counts."""
+    inside = spans.select(*keys, F.col("first").alias("node"), F.explode(F.sequence("first", "last")).alias("idx")).groupBy(*keys, "idx").agg(F.min("node").alias("_span"))
+    return collapsed(tokens, *keys).join(inside, [*keys, "idx"], "left").withColumn("node", F.coalesce("_span", "kept")).drop("_span", "kept")
+
+
+def contracted_edges(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Undirected edges (keys, u, v, weight) between the nodes of contracted() tokens: both ends of each edge become their nodes; of equal pairs the lighter, no loops."""
+    node = tokens.select(*keys, F.col("idx").alias("_i"), F.col("node").alias("_n"))
+    raw = edges(tokens, *keys)
+    for end in ("u", "v"):
+        raw = raw.join(node.withColumnRenamed("_i", end), [*keys, end], "left").withColumn(end, F.coalesce("_n", end)).drop("_n")
+    return raw.where("u <> v").groupBy(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("weight").alias("weight"))
 
 
 def lemma(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """`lemma` from a lexicon (word, tag, lemma) by the token's mapped tag ("all" matches any), lower-cased; else the word."""
+    """`lemma` from a lexicon (word, tag, lemma) by the token's mapped tag ("all" matches any), lower-cased; else the word. The lexicon is one row a word before it meets the tokens."""
     mapped = F.create_map(*(F.lit(x) for kv in LEXICON_TAGS.items() for x in kv))
-    t = tokens.withColumn("_tag", F.try_element_at(mapped, F.col("pos")))
-    lex = lexicon.select(F.col("word").alias("_w"), F.col("tag").alias("_t"), F.col("lemma").alias("_lemma"))
-    fits = (F.col("_w") == F.lower("word")) & ((F.col("_tag") == "all") & ((F.col("pos") != "PRON") | F.col("_t").isin(*PRONOUN_TAGS)) | (F.col("_tag") == F.col("_t")))
-    out = t.join(lex, fits, "left").groupBy(*tokens.columns).agg(F.min("_lemma").alias("lemma"))
-    return out.withColumn("lemma", F.lower(F.coalesce("lemma", "word")))
+    by_tag = lexicon.where("word IS NOT NULL AND tag IS NOT NULL").groupBy("word", "tag").agg(F.min("lemma").alias("lemma"))
+    pronoun = F.when(F.col("tag").isin(*PRONOUN_TAGS), F.col("lemma"))
+    entry = by_tag.groupBy(F.col("word").alias("_w")).agg(F.map_from_entries(F.collect_list(F.struct("tag", "lemma"))).alias("_by"), F.min("lemma").alias("_any"), F.min(pronoun).alias("_pronoun"))
+    tag = F.try_element_at(mapped, F.col("pos"))
+    found = F.when(tag == "all", F.when(F.col("pos") == "PRON", F.col("_pronoun")).otherwise(F.col("_any"))).otherwise(F.try_element_at("_by", tag))
+    out = tokens.join(entry, F.lower("word") == F.col("_w"), "left").withColumn("lemma", F.lower(F.coalesce(found, "word")))
+    return out.drop("_w", "_by", "_any", "_pronoun")
 
 
-def root_paths(tokens: DataFrame, ends: DataFrame, key: str) -> DataFrame:
-    """(key, side, node, steps) of every node between an end (key, side, idx) and the root. Trees come packed, one row a sentence, so climbing is a loop over it and not a chain of joins.
-
-    A climb has as many steps as the sentence has tokens at most; it ends where heads form a ring.
-    """
-    heads = tokens.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "head"))).alias("_heads"))
-    above = "coalesce(try_element_at(_heads, {}), 0L)"
-    step = f"CASE WHEN s.up > 0 AND NOT array_contains(s.path, s.up) THEN named_struct('path', concat(s.path, array(s.up)), 'up', {above.format('s.up')}) ELSE s END"
-    climb = F.expr(f"aggregate(sequence(1, size(_heads)), named_struct('path', array(idx), 'up', {above.format('idx')}), (s, i) -> {step}, s -> s.path)")
-    return ends.join(heads, key).select(key, "side", F.posexplode(climb).alias("steps", "node")).select(key, "side", "node", F.col("steps").cast("long").alias("steps"))
-
-
-def branches(paths: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
-    """(key, lca, path1, path2): the lowest common ancestor, and the words from each end to it, joined by /."""
-    one, two = (paths.where(f"side = {i}").select(key, "node", F.col("steps").alias(f"s{i}")) for i in (1, 2))
-    lca = one.join(two, [key, "node"]).groupBy(key).agg(F.min_by(F.struct("node", "s1", "s2"), F.col("s1") + F.col("s2")).alias("l"))
-    words = tokens.select(key, F.col("idx").alias("node"), "word")
-    out = lca.select(key, F.col("l.node").alias("lca"), F.col("l.s1").alias("s1"), F.col("l.s2").alias("s2"))
-    for i in (1, 2):
-        part = paths.where(f"side = {i}").join(out.select(key, f"s{i}"), key).where(F.col("steps") <= F.col(f"s{i}")).join(words, [key, "node"])
-        packed = part.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("steps", "word"))), lambda x: x["word"]), "/").alias(f"path{i}"))
-        out = out.join(packed, key)
-    return out.select(key, "lca", "path1", "path2")
-
-
-def _graph(edges: pd.DataFrame) -> dict[int, dict[int, float]]:
+def _graph(us, vs, weights) -> dict[int, dict[int, float]]:
     near: dict[int, dict[int, float]] = defaultdict(dict)
-    for u, v, w in zip(edges["u"], edges["v"], edges["weight"], strict=True):
+    for u, v, w in zip(us, vs, weights, strict=True):
         near[u][v] = near[v][u] = min(w, near[u].get(v, w))
     return near
 
 
 def _lightest(near, a: int, b: int) -> list[int] | None:
-    """Of equally light paths the one of fewer nodes, then the lexicographically least."""
-    heap, done = [(0.0, 1, [a])], set()
+    """Of equally light paths the one of fewer nodes, then the lexicographically least: costs are found from b outwards, then each step from a goes to the least node that keeps the cost."""
+    cost, heap = {b: (0.0, 0)}, [(0.0, 0, b)]
     while heap:
-        weight, n, path = heapq.heappop(heap)
-        if path[-1] == b:
-            return path
-        if path[-1] in done:
+        weight, n, at = heapq.heappop(heap)
+        if cost[at] < (weight, n):
             continue
-        done.add(path[-1])
-        for v, w in near[path[-1]].items():
-            if v not in done:
-                heapq.heappush(heap, (round(weight + w, 9), n + 1, [*path, v]))
-    return None
+        if at == a:  # what is as near as this is settled
+            break
+        for v, w in near[at].items():
+            new = (round(weight + w, 9), n + 1)
+            if v not in cost or new < cost[v]:
+                cost[v] = new
+                heapq.heappush(heap, (*new, v))
+    if a not in cost:
+        return None
+    path = [a]
+    while path[-1] != b:
+        weight, n = cost[path[-1]]
+        path.append(min(v for v, w in near[path[-1]].items() if v in cost and (round(cost[v][0] + w, 9), cost[v][1] + 1) == (weight, n)))
+    return path
 
 
 def shortest_paths(packed: DataFrame, key: str) -> DataFrame:
-    """(key, a, b, edges array<struct<u, v, weight>>) to (key, inner, cost): interior nodes of the lightest path, null where there is none. One row holds one sentence's graph."""
+    """(key, asks array<struct<pair, a, b>>, edges array<struct<u, v, weight>>) to (key, pair, inner, cost, nodes): the interior nodes of each asked lightest path, joined by / and as an array; null where there is none. One row holds one sentence's graph, built once."""
+    pair = packed.schema["asks"].dataType.elementType["pair"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (asks, found) in enumerate(zip(batch.column("asks").to_pylist(), batch.column("edges"), strict=True)):
+                e = found.values
+                near = _graph(*(e.field(c).to_pylist() for c in ("u", "v", "weight"))) if e is not None else {}
+                ways = [_lightest(near, x["a"], x["b"]) if x["a"] in near and x["b"] in near else None for x in asks or ()]
+                costs = [round(sum(near[x][y] for x, y in zip(p, p[1:])), 6) if p else None for p in ways]
+                keys = batch.column(key).take(pa.array([i] * len(ways), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([x["pair"] for x in asks or ()], batch.schema.field("asks").type.value_type.field("pair").type), pa.array([p[1:-1] if p else None for p in ways], pa.list_(pa.int64())), pa.array(costs, pa.float64())], names=[key, "pair", "nodes", "cost"])
+
+    out = packed.select(key, "asks", "edges").mapInArrow(run, f"{key} {dict(packed.dtypes)[key]}, pair {pair.simpleString()}, nodes array<long>, cost double")
+    return out.select(key, "pair", F.array_join("nodes", "/").alias("inner"), "cost", "nodes")
+
+
+def occurrence(places: Column, nth: Column) -> Column:
+    """The first node of the nth (from 1) of find()'s places; null if there are fewer."""
+    return F.get(places["first"], nth.cast("int") - 1).cast("long")
+
+
+def paths(pairs: DataFrame, graphs: DataFrame, packed: DataFrame, key: str, pair: str = "id_entities_pair") -> DataFrame:
+    """(pair, lemma, dep, tag): three /-joined strings of the interior nodes of the lightest path between two nodes.
+
+    pairs: (pair, key, a, b); graphs: (key, edges) of contracted_edges(); packed: trees.trees(). An end that is null or not in the graph gives three nulls.
+    """
+    asks = pairs.groupBy(key).agg(F.collect_list(F.struct(F.col(pair).alias("pair"), "a", "b")).alias("asks"))
+    found = shortest_paths(asks.join(graphs, key, "left"), key).join(packed, key, "left")
+    part = lambda column: F.expr(f"array_join(transform(nodes, x -> get({column}, CAST(array_position(ids, x) AS INT) - 1)), '/')")
+    return found.select(F.col("pair").alias(pair), part("lemmas").alias("lemma"), part("rels").alias("dep"), part("tags").alias("tag"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = []
-            for k, a, b, found in zip(df[key], df["a"], df["b"], df["edges"], strict=True):
-                near = _graph(pd.DataFrame([(e["u"], e["v"], e["weight"]) for e in found], columns=["u", "v", "weight"]))
-                path = _lightest(near, a, b)
-                cost = sum(near[x][y] for x, y in zip(path, path[1:])) if path else None
-                rows.append((k, "/".join(map(str, path[1:-1])) if path else None, round(cost, 6) if path else None))
-            yield pd.DataFrame(rows, columns=[key, "inner", "cost"])
 
-    return packed.select(key, "a", "b", "edges").mapInPandas(run, f"{key} long, inner string, cost double")
+def directed_degrees(tokens: DataFrame, *keys: str) -> DataFrame:
+    """In- and out-degree of each node of the directed graph: head to dependent, and each token to the next; shares are of the nodes less one."""
+    dependency = tokens.where("head > 0").select(*keys, F.col("head").alias("a"), F.col("idx").alias("b"))
+    next_to = tokens.select(*keys, F.col("idx").alias("a"), F.lead("idx").over(Window.partitionBy(*keys).orderBy("idx")).alias("b")).where("b IS NOT NULL")
+    arcs = dependency.unionByName(next_to).where("a <> b").distinct()
+    ends = arcs.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("b").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e")).select(*keys, "e.*")
+    by_node = ends.groupBy(*keys, "node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    n = F.count("*").over(Window.partitionBy(*keys)) - 1
+    return by_node.select(*keys, "node", "in_degree", "out_degree", F.round(F.col("in_degree") / n, 6).alias("in_centrality"), F.round(F.col("out_degree") / n, 6).alias("out_centrality"))
 
 
 def degrees(edges: DataFrame, *keys: str) -> DataFrame:
@@ -147,16 +192,15 @@ def degrees(edges: DataFrame, *keys: str) -> DataFrame:
 def centralities(packed: DataFrame, key: str) -> DataFrame:
     """(key, node, betweenness, eigenvector) of (key, edges): weighted betweenness (normalised) and the leading eigenvector of the adjacency."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = []
-            for k, found in zip(df[key], df["edges"], strict=True):
-                near = _graph(pd.DataFrame([(e["u"], e["v"], e["weight"]) for e in found], columns=["u", "v", "weight"]))
-                between, vector = _betweenness(near), _eigenvector(near)
-                rows += [(k, n, between[n], vector[n]) for n in sorted(near)]
-            yield pd.DataFrame(rows, columns=[key, "node", "betweenness", "eigenvector"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, found in enumerate(batch.column("edges")):
+                near = _graph(*(found.values.field(c).to_pylist() for c in ("u", "v", "weight")))
+                between, vector, nodes = _betweenness(near), _eigenvector(near), sorted(near)
+                keys = batch.column(key).take(pa.array([i] * len(nodes), pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(nodes, pa.int64()), pa.array([between[n] for n in nodes]), pa.array([vector[n] for n in nodes])], names=[key, "node", "betweenness", "eigenvector"])
 
-    return packed.select(key, "edges").mapInPandas(run, f"{key} long, node long, betweenness double, eigenvector double")
+    return packed.select(key, "edges").where("size(edges) > 0").mapInArrow(run, f"{key} {dict(packed.dtypes)[key]}, node long, betweenness double, eigenvector double")
 
 
 def _betweenness(near) -> dict[int, float]:

@@ -21,11 +21,18 @@ def sample(df: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
 def capped(df: DataFrame, types: tuple[str, ...], order: list[str], share: float = 0.95) -> DataFrame:
     """Of each ordered pair of types (first before second in `types`) and label, the first rows up to the `share` quantile of the counts of labelled pairs. Needs ent1type, ent2type, relation."""
     counts = df.where("relation IS NOT NULL AND ent1type IS NOT NULL AND ent2type IS NOT NULL").groupBy("ent1type", "ent2type").count()
-    limit = counts.agg(F.percentile("count", share).cast("int").alias("_limit"))
+    limit = counts.agg(F.percentile("count", share).cast("int")).first()[0]  # one number: a literal lets tasks drop rows before they are dealt
     at = F.array(*map(F.lit, types))
     first, second = F.array_position(at, F.col("ent1type")), F.array_position(at, F.col("ent2type"))
     w = Window.partitionBy("ent1type", "ent2type", F.col("relation").isNull()).orderBy(*order)
-    return df.where((first > 0) & (second > 0) & (first < second)).withColumn("_nth", F.row_number().over(w)).join(F.broadcast(limit), F.col("_nth") <= F.col("_limit")).drop("_nth", "_limit")
+    return df.where((first > 0) & (second > 0) & (first < second)).withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= F.lit(limit or 0)).drop("_nth")
+
+
+def id_sets(pairs: DataFrame, key: str, relation: str = "relation", linked: tuple[str, str] = ("wikidata_id1", "wikidata_id2")) -> DataFrame:
+    """(key, positive) of the pairs with both items: those with a relation, and those without, in one table."""
+    both = pairs.where(F.col(linked[0]).isNotNull() & F.col(linked[1]).isNotNull())
+    positive, negative = both.where(F.col(relation).isNotNull()), both.where(F.col(relation).isNull())
+    return positive.select(key, F.lit(True).alias("positive")).unionByName(negative.select(key, F.lit(False).alias("positive")))
 
 
 def rare(df: DataFrame, column: str, below: int = 3) -> DataFrame:

@@ -8,19 +8,13 @@ from pyspark.sql import functions as F
 from textloom.functions import chain, sentences
 from textloom.operators import mentions
 
-
-TEXTS, SMALL = ("documents", "pages"), 64 << 20
+TEXTS = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a text table of under SMALL bytes a core over all cores: its files hold fewer row groups than that, and regular expressions cost far more than moving it. Larger tables stay as they are scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
+    """A table as it is scanned; text tables, on which regular expressions run, are dealt if `textloom.text.partitions` is set (see README)."""
+    df, n = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.conf.get("textloom.text.partitions", None)
+    return df.repartition(int(n)) if n and name in TEXTS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +32,7 @@ def found_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("entity_type", F.element_at(types, (F.length("surface_form") % 16 + 1).cast("int"))).withColumn("wiki_id", F.when(F.length("surface_form") > 3, F.regexp_replace(F.lower("surface_form"), "[^a-z]", "")).otherwise(""))
 
 
-CHAIN = chain.sql("text", sentences.SPLIT)
-SENTENCES = f"""cut AS (SELECT doc_id, text, string_split({CHAIN}, '<stop>') AS parts FROM documents),
-sents AS (SELECT doc_id, text, unnest(parts) AS sentence, (generate_subscripts(parts, 1) - 1)::BIGINT AS pos FROM cut)"""
+SENTENCES = sentences.SQL
 TYPES = "[" + ", ".join(chain.literal(t) for t in mentions.ENTITY_TYPES) + "]"
 MENTIONS = f"""{SENTENCES},
 toks AS (SELECT doc_id, pos, unnest(string_split(sentence, ' ')) AS tok, generate_subscripts(string_split(sentence, ' '), 1) AS i FROM sents),

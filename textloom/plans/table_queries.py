@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import chain, sentences
-from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, sampling, splits
+from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, sampling, splits, trees
 from textloom.plans.base import MENTIONS, documents, found_mentions, found_sentences, table
 
 COLUMNS = ["start", "end", "surface_form", "entity_type", "wikidata_id"]
@@ -97,7 +97,7 @@ def rare_relations(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(sampling.rare(rows, "wiki_id"), "wiki_id", "left_semi")
 
 
-SOURCES = [f"src{i}" for i in range(20)]
+SOURCES = [*(f"src{i}" for i in range(20)), "other"]
 
 
 def crosstab_types(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +185,7 @@ def roc_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def roc_auc(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.auc(evaluate.roc(_scored(spark, d)))
+    return evaluate.auc(_scored(spark, d))
 
 
 def roc_cut(spark: SparkSession, d: str) -> DataFrame:
@@ -233,13 +233,16 @@ def dep_tree_rows(spark: SparkSession, d: str) -> DataFrame:
     return graph.tree_rows(spark.createDataFrame([(1, reply)], "sentence_id long, reply string"), "reply", "sentence_id")
 
 
+SENTENCES_A_DOCUMENT = 1 << 31  # more than a text can have
+
+
 def _tokens(spark, d, name: str = "documents", key: str = "doc_id") -> DataFrame:
     """Trees of a fixture: the words of each sentence, head(i) = i div 2."""
-    rows = sentences.sentences(table(spark, d, name).withColumnRenamed(key, "doc_id")).where("length(sentence) > 0").select((F.col("doc_id") * 100000 + F.col("pos")).alias("sid"), F.posexplode(F.split("sentence", " ")).alias("i", "word"))
+    rows = sentences.sentences(table(spark, d, name).withColumnRenamed(key, "doc_id")).where("length(sentence) > 0").select((F.col("doc_id") * SENTENCES_A_DOCUMENT + F.col("pos")).alias("sid"), F.posexplode(F.split("sentence", " ")).alias("i", "word"))
     return rows.select("sid", (F.col("i") + 1).cast("long").alias("idx"), "word", F.expr("(i + 1) div 2").cast("long").alias("head"))
 
 
-TOKENS = f"""{MENTIONS}, tk AS (SELECT doc_id * 100000 + pos AS sid, i AS idx, tok AS word, i // 2 AS head FROM toks WHERE (doc_id, pos) IN (SELECT (doc_id, pos) FROM sents WHERE length(sentence) > 0))"""
+TOKENS = f"""{MENTIONS}, tk AS (SELECT doc_id * {SENTENCES_A_DOCUMENT} + pos AS sid, i AS idx, tok AS word, i // 2 AS head FROM toks WHERE (doc_id, pos) IN (SELECT (doc_id, pos) FROM sents WHERE length(sentence) > 0))"""
 
 
 def dup_collapse(spark: SparkSession, d: str) -> DataFrame:
@@ -247,8 +250,12 @@ def dup_collapse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def span_find(spark: SparkSession, d: str) -> DataFrame:
-    packed = _tokens(spark, d).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("w"))
-    return packed.select("sid", F.explode(graph.find(F.col("w"), F.slice("w", 2, 1))).alias("at")).select("sid", F.col("at").cast("long").alias("at"))
+    """Where the second and third word of each sentence stand in it, over blanked duplicates."""
+    words = lambda t: F.transform(F.array_sort(F.collect_list(F.struct("idx", t))), lambda x: x[t])
+    tokens = _tokens(spark, d).select("sid", "idx", "word")
+    both = graph.blanked(tokens, "sid").withColumnRenamed("word", "blanked").join(tokens, ["sid", "idx"])
+    packed = both.groupBy("sid").agg(words("blanked").alias("b"), words("word").alias("w"))
+    return packed.select("sid", F.explode(graph.find(F.col("b"), F.slice("w", 2, 2))).alias("at")).select("sid", F.col("at.first").cast("long").alias("first"), F.col("at.last").cast("long").alias("last"))
 
 
 def span_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -269,10 +276,8 @@ def lemma_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lca_paths(spark: SparkSession, d: str) -> DataFrame:
-    tokens = _tokens(spark, d)
-    size = tokens.groupBy("sid").agg(F.max("idx").alias("n")).where("n > 2")
-    ends = size.select("sid", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("n").alias("idx")), F.struct(F.lit(2).alias("side"), (F.col("n") - 1).alias("idx")))).alias("e")).select("sid", "e.side", "e.idx")
-    return graph.branches(graph.root_paths(tokens, ends, "sid"), tokens, "sid")
+    packed = trees.trees(_tokens(spark, d), "sid").where("size(ids) > 2").withColumn("a", F.element_at("ids", -1)).withColumn("b", F.element_at("ids", -2))
+    return trees.branches(packed, "a", "b").select("sid", "lca", F.col("word_path1").alias("path1"), F.col("word_path2").alias("path2"))
 
 
 def _packed(spark, d, *of) -> DataFrame:
@@ -281,7 +286,8 @@ def _packed(spark, d, *of) -> DataFrame:
 
 
 def sdp_path(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_paths(_packed(spark, d), "sid")
+    asked = _packed(spark, d).withColumn("asks", F.array(F.struct(F.col("sid").alias("pair"), "a", "b")))
+    return graph.shortest_paths(asked, "sid").select("sid", "inner", "cost")
 
 
 def graph_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -323,7 +329,7 @@ QUERIES = {
       r AS (SELECT *, list_position({_TYPES_SQL}, ent1type) AS i, list_position({_TYPES_SQL}, ent2type) AS j, row_number() OVER (PARTITION BY ent1type, ent2type, relation IS NULL ORDER BY doc_id, pos, start1, start2) AS nth FROM typed)
       SELECT doc_id, pos, start1, start2, ent1type, ent2type, relation FROM r, lim WHERE i < j AND nth <= lim"""),
     "rare_relations": (rare_relations, f"WITH {MENTIONS} SELECT doc_id, pos, start, wiki_id FROM ments WHERE wiki_id IN (SELECT wiki_id FROM ments GROUP BY 1 HAVING count(*) < 3)"),
-    "crosstab_types": (crosstab_types, "SELECT lang, " + ", ".join(f"count(*) FILTER (source = '{s}') AS {s}" for s in SOURCES) + " FROM documents GROUP BY 1"),
+    "crosstab_types": (crosstab_types, "WITH t AS (SELECT CASE WHEN coalesce(lang, '') = '' THEN 'other' ELSE lang END AS lang, CASE WHEN source IN (" + ", ".join(f"'{s}'" for s in SOURCES) + ") THEN source ELSE 'other' END AS source FROM documents) SELECT lang, " + ", ".join(f"count(*) FILTER (source = '{s}') AS {s}" for s in SOURCES) + " FROM t GROUP BY 1"),
     "vocab_codes": (vocab_codes, f"WITH {PATHS}, w AS (SELECT DISTINCT unnest(string_split(path, '/')) AS word FROM paths UNION SELECT 'UKNWN') SELECT word, row_number() OVER (ORDER BY word) AS code FROM w"),
     "label_onehot": (label_onehot, f"WITH c AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS code FROM (SELECT DISTINCT p_brand FROM part)) SELECT p_partkey, code, {_ONEHOT('code', 30)} AS onehot FROM part JOIN c USING (p_brand)"),
     "tag_codes": (tag_codes, f"WITH t AS (SELECT doc_id, {_TAG} AS tag FROM documents) SELECT doc_id, tag, {_CUT} AS cut, coalesce(list_position({_TAGS}, {_CUT}), 0)::BIGINT AS code FROM t"),
@@ -347,7 +353,11 @@ QUERIES = {
     "dep_tree_rows": (dep_tree_rows, "SELECT * FROM (VALUES " + ", ".join(f"(1::BIGINT, {i + 1}::BIGINT, '{w}', '{w.lower()}', '{p}', {h}::BIGINT, '{r}')" for i, (w, p, h, r) in enumerate(FOX)) + ") t(sentence_id, idx, word, lemma, pos, head, rel)"),
     "dup_collapse": (dup_collapse, f"""WITH {TOKENS}, n AS (SELECT sid, idx, word, CASE WHEN lag(word) OVER w = word THEN NULL ELSE idx END AS fresh FROM tk WINDOW w AS (PARTITION BY sid ORDER BY idx)),
       k AS (SELECT sid, idx, word, max(fresh) OVER (PARTITION BY sid ORDER BY idx) AS kept FROM n) SELECT * FROM k WHERE kept <> idx"""),
-    "span_find": (span_find, f"WITH {TOKENS}, second AS (SELECT sid, word FROM tk WHERE idx = 2) SELECT tk.sid, tk.idx AS at FROM tk JOIN second s ON tk.sid = s.sid AND tk.word = s.word"),
+    "span_find": (span_find, f"""WITH {TOKENS}, bl AS (SELECT sid, idx, word, CASE WHEN lag(word) OVER (PARTITION BY sid ORDER BY idx) = word THEN ' ' ELSE word END AS b FROM tk),
+      p AS (SELECT sid, list(b ORDER BY idx) AS b, list_slice(list(word ORDER BY idx), 2, 3) AS part FROM bl GROUP BY 1),
+      c AS (SELECT sid, b, part, unnest(range(1, len(b) + 1)) AS i FROM p WHERE len(part) > 0),
+      h AS (SELECT sid, i, len(b) AS n, len(part) + list_filter(range(0, 4), lambda k: CASE WHEN k = 0 THEN list_slice(b, i, i + len(part) - 1) ELSE list_filter(list_slice(b, i, i + len(part) + k - 1), lambda w: w <> ' ') END = part)[1] AS size FROM c WHERE b[i] = part[1])
+      SELECT sid, i AS first, least(i + size - 1, n) AS last FROM h WHERE size IS NOT NULL"""),
     "span_overlap": (span_overlap, f"""WITH {MENTIONS} SELECT doc_id, pos, start, max(greatest("end", "end" + length(surface_form) % 4)) AS "end" FROM ments GROUP BY ALL"""),
     "graph_edges": (graph_edges, f"WITH {_EDGES} SELECT * FROM ed"),
     "lemma_lookup": (lemma_lookup, f"""WITH {TOKENS}, tg AS (SELECT sid, idx, word, ['NOUN', 'VERB', 'PRON', 'NUM'][(length(word) % 4 + 1)::INT] AS pos FROM tk)

@@ -6,16 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import chain, sentences, wikitext
-from textloom.operators import graph, mentions, sampling
+from textloom.operators import graph, mentions, sampling, words
 from textloom.plans.base import MENTIONS, SENTENCES, documents, found_mentions, found_sentences, table
 
 PREFIX = "http://example.org/wiki/"
-STOPWORDS = (
-    "alors au aucuns aussi autre avec car ce cet cela ces ceux ci comme comment dans des du donc elle elles en est et eu un une par plus moins aux ici il ils je juste la le les leur là ma mais mes mine moins mon mot "
-    "ni notre nous ou où parce pas peut pour quand que quel quelle quelles on ont ne qu vers été était être avant après jusque jusqu depuis avoir quels qui sa sans ses si sien son sont sous sur ta tandis tellement tels tes ton tous "
-    "tout trop très tu votre vous vu ça sa son ses de a"
-).split()  # fixed values
-
 # wikitext around whole document texts: what stands before and after the text
 WIKI = (
     "{{Infobox Ville\n| nom = [[Page]]\n}}\n'''Titre''' {{s-|XX}} {{unité|5|km}} {{lang|en|foo}} {{Album}} {{date|1|mai|1900}} {{s2-|XX|e|XXI}} {{gras|mot}} {{seul}}\n# [[Un]] suite\n[[Fichier:a.jpg|thumb|[[Lien]] texte]] [[Page|label]] <ref>note</ref><b>gras</b><br /> &lt;i&gt;x&lt;/i&gt; <!-- caché -->\n{| class=x\n| a\n|}\n\\frac{a} * [http://a b] y\n",
@@ -99,9 +93,8 @@ def mention_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
-    stop = F.array(*map(F.lit, dict.fromkeys(STOPWORDS)))
-    words = F.filter(F.split(F.lower("text"), "[ \n]+"), lambda w: ~F.array_contains(stop, w) & (F.length(w) > 1) & ~w.rlike("[0-9]"))
-    return documents(spark, d).select("doc_id", F.array_join(words, " ").alias("kept"), F.size(words).cast("long").alias("n"))
+    kept = words.content_words(F.split(F.lower("text"), "[ \n]+"))
+    return documents(spark, d).select("doc_id", F.array_join(kept, " ").alias("kept"), F.size(kept).cast("long").alias("n"))
 
 
 def token_clean_split(spark: SparkSession, d: str) -> DataFrame:
@@ -118,16 +111,24 @@ def _rejected_sql() -> str:
     return " OR ".join(parts)
 
 
+def _quoted(encoded: str) -> str:
+    for code, sign in (("%2F", "/"), ("%28", "("), ("%29", ")"), ("%3A", ":"), ("%22", '"'), ("%27", "'")):
+        encoded = f"replace({encoded}, '{code}', {chain.literal(sign)})"
+    return encoded
+
+
 _NAMES = " OR ".join(f"contains(surface_form, {chain.literal(s + ' ')})" for s in mentions.NOT_IN_NAMES)
 _CLOSING = f"(regexp_matches(surface_form, {chain.literal(mentions.PUNCTUATION + '$')}) AND NOT regexp_matches(surface_form, '([A-Z]\\.)([A-Z]\\.)+') AND NOT regexp_matches(surface_form, '([0-9]+\\.)[0-9]+'))"
-_STOP = "[" + ", ".join(chain.literal(w) for w in dict.fromkeys(STOPWORDS)) + "]"
+_STOP = "[" + ", ".join(chain.literal(w) for w in dict.fromkeys(words.STOPWORDS)) + "]"
 _SPACED = r"regexp_replace(regexp_replace(sentence, '\.+$', '', 'g'), " + chain.literal(r"([,;:?!()\[\]{}«»'\"/’&])") + r", ' \1 ', 'g')"
 
 QUERIES = {
     "page_titles": (page_titles, f"SELECT page_id, title, CASE WHEN length(title) > 0 THEN '{PREFIX}' || upper(substr(replace(title, ' ', '_'), 1, 1)) || substr(replace(title, ' ', '_'), 2) END AS address FROM (SELECT page_id, regexp_extract(html, '{TITLE}', 1) AS title FROM pages)"),
     "page_reject": (page_reject, f"""WITH t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines FROM documents)
       SELECT doc_id, title, n_lines, ({_rejected_sql()}) AS rejected, (contains(lower(title), 'homonymie') OR contains(lower(title), '#redirect') OR n_lines <= 1) AS rejected_text FROM t WHERE NOT ({_rejected_sql()})"""),
-    "page_url_encode": (page_url_encode, None),
+    "page_url_encode": (page_url_encode, f"""WITH t AS (SELECT page_id, regexp_extract(html, '{TITLE}', 1) AS title FROM pages),
+      n AS (SELECT page_id, title, {_quoted("url_encode(replace(title, ' ', '_'))")} AS name FROM t)
+      SELECT page_id, CASE WHEN length(title) > 0 THEN '{PREFIX}' || upper(substr(name, 1, 1)) || substr(name, 2) END AS address FROM n"""),
     "page_categories": (page_categories, """WITH t AS (SELECT doc_id, regexp_extract_all(text || chr(10) || '[[Catégorie:' || lang || ']]' || chr(10) || '[[Catégorie:' || source || ']]', '\\[\\[Catégorie:([^\\n]*)\\]\\]', 1) AS c FROM documents)
       SELECT doc_id, generate_subscripts(c, 1) - 1 AS at, unnest(c) AS category FROM t"""),
     "page_links": (page_links, f"""WITH t AS (SELECT page_id, url, regexp_extract_all(html, '{ANCHOR}', 1) AS a, regexp_extract_all(html, '{ANCHOR}', 2) AS b FROM pages)
@@ -147,7 +148,12 @@ QUERIES = {
     "mention_extract": (mention_extract, f"WITH {MENTIONS} SELECT * FROM ments WHERE length(surface_form) > 1 AND NOT ({_NAMES})"),
     "mention_normalise": (mention_normalise, f"""WITH {MENTIONS}, n AS (SELECT *, {_CLOSING} AS closing FROM ments), s AS (SELECT *, CASE WHEN closing THEN regexp_replace(substr(surface_form, 1, length(surface_form) - 1), '\\.+$', '') ELSE surface_form END AS sf FROM n)
       SELECT doc_id, pos, start, CASE WHEN closing THEN "end" - 1 ELSE "end" END AS "end", sf AS surface_form, array_to_string(string_split_regex(sf, '[''\\- /.]'), '+') AS tokens, nullif(wiki_id, '') AS wiki_id FROM s"""),
-    "mention_merge": (mention_merge, None),
+    "mention_merge": (mention_merge, f"""WITH {MENTIONS}, m AS (SELECT ments.*, sentence FROM ments JOIN sents USING (doc_id, pos)),
+      l AS (SELECT *, row_number() OVER w AS i, coalesce(substr(sentence, lag("end") OVER w, 1) = chr(39) OR substr(sentence, start, 1) IN (chr(39), '-'), false) AND lag(start) OVER w IS NOT NULL AS tied FROM m WINDOW w AS (PARTITION BY doc_id, pos ORDER BY start, "end", entity_type)),
+      r AS (SELECT *, sum((NOT tied)::INT) OVER (PARTITION BY doc_id, pos ORDER BY i) AS run FROM l),
+      g AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, pos, run ORDER BY i) - 1) // 2 AS two FROM r),
+      x AS (SELECT doc_id, pos, any_value(sentence) AS sentence, min(start) AS start, max_by("end", i) AS "end", max_by(entity_type, i) AS entity_type FROM g GROUP BY doc_id, pos, run, two)
+      SELECT doc_id, pos, start, "end", substr(sentence, start + 1, "end" - start) AS surface_form, entity_type FROM x"""),
     "mention_shapes": (mention_shapes, f"""WITH {MENTIONS}, l AS (SELECT *, surface_form || '---' || array_to_string(string_split_regex(surface_form, '[''\\- /.]'), '/') || ' --- ' || start || ' \\ ' || "end" AS line FROM ments)
       SELECT doc_id, pos, string_agg(surface_form, '__' ORDER BY start, "end") AS forms, string_agg(line, chr(10) ORDER BY start, "end") AS printed, count(*) AS n FROM l GROUP BY ALL"""),
     "stopword_filter": (stopword_filter, f"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\n]+'), lambda w: NOT list_contains({_STOP}, w) AND length(w) > 1 AND NOT regexp_matches(w, '[0-9]')) AS kept FROM documents)

@@ -32,7 +32,7 @@ def write_ids(ids: DataFrame, path: str) -> None:
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(word, vec) of a text file of word vectors: a word and its numbers, by blanks."""
     parts = F.split("value", " ")
-    return spark.read.text(path).where(F.size(parts) > 2).select(F.element_at(parts, 1).alias("word"), F.slice(parts, 2, 1000000).cast("array<float>").alias("vec"))
+    return spark.read.text(path).where(F.size(parts) > 2).select(F.element_at(parts, 1).alias("word"), F.slice(parts, F.lit(2), F.size(parts) - 1).cast("array<float>").alias("vec"))
 
 
 def append(df: DataFrame, path: str) -> None:
