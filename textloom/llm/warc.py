@@ -4,6 +4,9 @@ Pages are written as gzip-per-record WARC 1.1 archives: a payload seen before (b
 a revisit record that names the first. Archives are read back as a stream of rows (archive, record_no, chunk_no) with a
 bounded chunk of the payload and the digest of the payload so far, so no record is ever held whole.
 
+Records have ids of their own: one that revisits name has it from its payload, all others from their place. Where several rows
+are the first of a payload (a repeated page_id), its revisits name the page only, as the format allows.
+
 Defined cases: null html is an empty payload; rows that repeat a page_id with the same payload are all of the type of
 that page_id; a null page_id counts as larger than any; an empty table gives no archive and no rows; any url is
 percent-encoded where a header could not hold it; other columns are ignored.
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import files
-from textloom.llm.common import blocks, new_path, written
+from textloom.llm.common import blocks, chosen, members, new_path, written
 
 CHUNK = 256 << 10
 ARCHIVE_BYTES = 64 << 20
@@ -33,22 +36,30 @@ _ROW = pa.schema([("archive", pa.string()), ("record_no", pa.int64()), ("chunk_n
 
 
 def with_types(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """page_id, url, payload, digest, record_type and refers_to.
+    """page_id, url, payload, digest, record_type, refers_to and named: whether the response that a payload's revisits mean has an id from the payload.
 
-    The smallest page_id of a payload is pre-aggregated over digests alone; the join that brings it back is an inner
-    equi-join of rows with a digest, whose hot partitions adaptive execution splits.
+    Payloads that occur twice are found by digests alone, and only they go through a join, whose hot partitions adaptive
+    execution splits; a bitmap of bounded size lets all others by.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    again = (F.col("size") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.join(firsts, "digest").select(
-        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    large = F.octet_length("payload") >= min_bytes
+    ids = rows.where(large).groupBy("digest", "page_id").count()
+    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.min_by("count", "page_id").alias("firsts"), F.sum("count").alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
+    firsts = written(firsts, "warc-repeats")
+    about = pages.sparkSession.sparkContext.broadcast(members(firsts.select(F.xxhash64("digest").alias("hash"))))
+    key = F.when(large, F.col("digest")).otherwise(F.concat(F.lit("small "), F.xxhash64("page_id", "url").cast("string")))
+    first = F.col("page_id").eqNullSafe(F.col("first_id"))
+    again = F.col("first_id").isNotNull() & ~first
+    repeated = chosen(rows.withColumn("key", key), key, about).join(firsts.withColumnRenamed("digest", "key"), "key", "left").select(
+        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"), F.coalesce(F.col("firsts") == 1, F.lit(False)).alias("named")
     )
+    single = chosen(rows, key, about, inside=False).select("*", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("named"))
+    return repeated.unionAll(single)
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'page {page_id}')}>"
+def record_id(of: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, of)}>"
 
 
 def _head(fields: list[tuple[str, object]]) -> bytes:
@@ -58,9 +69,9 @@ def _head(fields: list[tuple[str, object]]) -> bytes:
 class ArchiveWriter:
     """Each record is a gzip member of its own, written in pieces of at most CHUNK."""
 
-    def __init__(self, out):
-        self.out, self.bytes = out, 0
-        self._member(_head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None)), ("Content-Type", "application/warc-fields"), ("Content-Length", 0)]), [])
+    def __init__(self, out, name: str):
+        self.out, self.name, self.bytes, self.records = out, name, 0, 0
+        self._member(_head([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(f"info {name}")), ("Content-Type", "application/warc-fields"), ("Content-Length", 0)]), [])
 
     def _member(self, head: bytes, body) -> None:
         z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -73,16 +84,18 @@ class ArchiveWriter:
             self.out.write(raw)
             self.bytes += len(raw)
 
-    def add(self, page_id, url, payload, digest, kind, refers_to) -> None:
+    def add(self, page_id, url, payload: memoryview, digest, kind, refers_to, named: bool) -> None:
+        self.records += 1
+        payload_id = record_id(f"payload {digest}")
         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        body = memoryview(payload) if kind == "response" else memoryview(b"")
+        body = payload if kind == "response" else memoryview(b"")
         fields = [
             ("WARC-Type", kind),
-            ("WARC-Record-ID", record_id(page_id)),
+            ("WARC-Record-ID", payload_id if named and kind == "response" else record_id(f"record {self.name} {self.records}")),
             ("WARC-Target-URI", quote(url, safe="".join(map(chr, range(0x21, 0x7F)))) if url is not None else None),
             ("WARC-Payload-Digest", f"sha256:{digest}"),
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if kind == "revisit" else None),
-            ("WARC-Refers-To", record_id(refers_to) if kind == "revisit" else None),
+            ("WARC-Refers-To", payload_id if named and kind == "revisit" else None),
             ("X-Page-Id", page_id),
             ("X-Refers-To-Page-Id", refers_to),
             ("Content-Type", "application/http;msgtype=response"),
@@ -100,11 +113,12 @@ def write_archives(typed: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, made = None, []
         for batch in blocks(batches, "payload"):
-            for row in batch.to_pylist():
+            payload, rest = batch.column("payload"), batch.drop_columns(["payload"]).to_pylist()
+            for i, row in enumerate(rest):
                 if archive is None:
                     out, name = files.create(folder, ".warc.gz")
-                    archive = ArchiveWriter(out)
-                archive.add(row["page_id"], row["url"], row["payload"], row["digest"], row["record_type"], row["refers_to"])
+                    archive = ArchiveWriter(out, name)
+                archive.add(row["page_id"], row["url"], memoryview(payload[i].as_buffer()), row["digest"], row["record_type"], row["refers_to"], row["named"])
                 if archive.bytes >= archive_bytes:
                     archive.close()
                     made.append(name)
