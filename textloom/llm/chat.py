@@ -9,7 +9,8 @@ The output is a row for each turn, in order, with its place in the conversation'
 loss mask, so a conversation of any length is formatted and read back as a stream.
 
 Defined cases: null text is empty; null role is the empty role; rows of a conversation are ordered by turn (null first),
-then role and text, and repeated rows are turns of their own; rows of a null conv_id are one conversation; an empty
+then role and text, and repeated rows are turns of their own; a null part is no part, a part of null kind is text, one of an
+unknown kind an attachment of no tokens whose placeholder says "other"; rows of a null conv_id are one conversation; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -57,18 +58,18 @@ class Flatten:
         self.number, self.found = 0, []
 
     def visit(self, part: dict, at: int) -> str:
-        how = getattr(self, f"_{part.get('kind') or 'text'}", None)
-        if how is None:
-            raise ValueError(f"unknown kind of part: {part['kind']}")
-        return how(part, at)
+        return KINDS.get(part.get("kind") or "text", Flatten._other)(self, part, at)
 
     def _text(self, part: dict, at: int) -> str:
         return escape(part.get("text") or "")
 
-    def _attach(self, part: dict, at: int, tokens: int) -> str:
+    def _attach(self, part: dict, at: int, tokens: int, mark: str | None = None) -> str:
         self.number += 1
         self.found.append({"number": self.number, "kind": part["kind"], "ref": part.get("ref"), "start": at, "tokens": tokens})
-        return f"<|{part['kind']} {self.number}|>"
+        return f"<|{mark or part['kind']} {self.number}|>"
+
+    def _other(self, part: dict, at: int) -> str:
+        return self._attach(part, at, 0, "other")
 
     def _image(self, part: dict, at: int) -> str:
         return self._attach(part, at, math.ceil((part.get("width") or 0) / PATCH) * math.ceil((part.get("height") or 0) / PATCH))
@@ -84,6 +85,9 @@ class Flatten:
         return out
 
 
+KINDS = {"text": Flatten._text, "image": Flatten._image, "audio": Flatten._audio, "document": Flatten._document}
+
+
 def text_parts(conversations: DataFrame) -> DataFrame:
     """Turns with a text column as turns with one text part."""
     part = F.from_json(F.lit("{}"), PART)
@@ -107,7 +111,7 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
                     conv, seq, at, visitor = row["conv_id"], 0, 0, Flatten()
                 head = OPEN + escape(row["role"], ROLE_ESCAPES) + BETWEEN
                 body, place = [], at + len(head)
-                for part in row["parts"] or ():
+                for part in (p for p in row["parts"] or () if p is not None):
                     body.append(visitor.visit(part, place))
                     place += len(body[-1])
                 text = head + "".join(body) + CLOSE
