@@ -11,8 +11,11 @@ decontaminate() and kept by cleaned(), but for those named like a column that it
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -21,16 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import blocks, strings
+from textloom.llm.common import blocks, fresh, numbered, strings, written
 
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 256 << 10  # an automaton has some 15 nodes a byte of them
 
 HIT = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("item", T.StringType())]))
 _HIT = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("item", pa.string())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS), ("contaminated", pa.bool_())])
-OUT = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>, contaminated boolean"
+_OUT = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS), ("contaminated", pa.bool_())])
+OUT = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>, contaminated boolean"
 
 
 def words(text: str) -> list[bytes]:
@@ -90,28 +93,16 @@ def runs_of(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _scan_shard(items, width: int, last: bool, share: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = automaton(items.value, width)
-        for batch in blocks(batches, "text"):
-            texts, before = strings(batch.column("text")), batch.column("hits").to_pylist()
-            hits, rows = [], []
-            for text, had in zip(texts, before, strict=True):
-                w, found = scan(text.encode("utf-8", "replace"), made)
-                found = [(h["first"], h["last"], h["item"]) for h in had or ()] + found
-                if last:
-                    runs = runs_of([x[:2] for x in found])
-                    n_hit = sum(b - a + 1 for a, b in runs)
-                    rows.append((len(w), n_hit, sorted({x[2] for x in found}), original_spans(text, runs) if runs else [], n_hit > 0 and share * n_hit >= len(w)))
-                else:
-                    hits.append([{"first": a, "last": b, "item": i} for a, b, i in found])
-            if last:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, _OUT.types[1:], strict=True))], schema=_OUT)
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(hits, _HIT)], names=["doc_id", "text", "hits"])
+_made: dict[str, object] = {}
 
-    return run
+
+def _automaton(shared, width: int):
+    """The automaton of a broadcast (name, items); a worker keeps the last one that it made."""
+    name, items = shared.value
+    if (name, width) not in _made:
+        _made.clear()
+        _made[name, width] = automaton(items, width)
+    return _made[name, width]
 
 
 def shards(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
@@ -126,51 +117,92 @@ def shards(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
     yield part
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Per document: words, words inside a window's occurrence, items hit, spans of the original, and the verdict.
+def _only_hits(shared, width: int, row: str):
+    """(row, hits) of the texts in which a window of one shard occurs."""
 
-    contaminated: some word is hit, and share * n_hit >= n_words. An automaton is broadcast only over shard_bytes of
-    item texts; a larger benchmark is scanned in as many passes as it has shards, without a shuffle.
-    """
-    spark = docs.sparkSession
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.array().cast(HIT).alias("hits"))
-    parts = [spark.sparkContext.broadcast(p) for p in shards(benchmark, shard_bytes)]
-    for k, part in enumerate(parts):
-        last = k == len(parts) - 1
-        out = out.mapInArrow(_scan_shard(part, width, last, share), OUT if last else out.schema)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _automaton(shared, width)
+        for batch in blocks(batches, "text"):
+            found = [[{"first": a, "last": b, "item": i} for a, b, i in scan(t.encode("utf-8", "replace"), made)[1]] for t in strings(batch.column("text"))]
+            keep = [k for k, x in enumerate(found) if x]
+            yield pa.RecordBatch.from_arrays([batch.column(row).take(pa.array(keep, pa.int64())), pa.array([found[k] for k in keep], _HIT)], names=[row, "hits"])
+
+    return run
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20) -> DataFrame:
-    """All columns of the documents, `contaminated`, and `clean`: the text without the words that are hit.
+def scanned(docs: DataFrame, benchmark: DataFrame, width: int, shard_bytes: int, names: list[str], added: T.StructType, result: Callable) -> DataFrame:
+    """The columns `names` of the documents and those that result(texts, words, hits) gives for a batch.
 
-    Each shard's automaton scans a text while it is here, so all columns pass through one step.
+    A benchmark of one shard is one pass without a shuffle. A larger one takes one job a shard, each of which holds one
+    automaton and writes its hits alone; they come back to the documents by a row number.
     """
-    docs = docs.drop("contaminated", "clean")
     spark = docs.sparkSession
-    made = [spark.sparkContext.broadcast(p) for p in shards(benchmark, SHARD_BYTES)]
-    keep = docs.columns
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    share = lambda part: spark.sparkContext.broadcast((uuid.uuid4().hex, part))
+    parts = shards(benchmark, shard_bytes)
+    first, more = next(parts), next(parts, None)
+    hits, shared = None, None
+    if more is None:
+        shared = share(first)
+    else:
+        row, hits = fresh([*docs.columns, "hits"], "row"), fresh(docs.columns, "hits")
+        docs, tables = numbered(docs, row, "decontamination-rows"), []
+        for part in chain([first, more], parts):
+            one = share(part)
+            tables.append(written(docs.select(row, "text").mapInArrow(_only_hits(one, width, row), T.StructType([docs.schema[row], T.StructField("hits", HIT)])), "hits"))
+            one.destroy()
+        every = reduce(DataFrame.unionAll, tables).groupBy(row).agg(F.flatten(F.collect_list("hits")).alias(hits))
+        docs = docs.join(every, row, "left").drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [automaton(p.value, width) for p in made]
+        made = _automaton(shared, width) if shared is not None else None
         for batch in blocks(batches, "text"):
-            verdicts, clean = [], []
-            for text in batch.column("text").to_pylist():
-                raw = (text or "").encode("utf-8", "replace")
-                n, found = 0, []
-                for a in automata:
-                    w, hits = scan(raw, a)
-                    n = len(w)
-                    found += [x[:2] for x in hits]
-                runs = runs_of(found)
-                n_hit = sum(b - a + 1 for a, b in runs)
-                verdicts.append(n_hit > 0 and share * n_hit >= n)
-                at, parts = 0, []
-                for s in original_spans(text, runs) if runs else ():
-                    parts.append(text[at : s["start"]])
-                    at = s["end"]
-                clean.append(text if text is None or not runs else "".join((*parts, text[at:])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(verdicts, pa.bool_()), pa.array(clean, pa.string())], names=[*keep, "contaminated", "clean"])
-
-    added = T.StructType.fromDDL("contaminated boolean, clean string")
-    return docs.mapInArrow(run, T.StructType([*docs.schema, *added]))
+            texts = batch.column("text").to_pylist()
+            had = batch.column(hits).to_pylist() if hits else [None] * len(texts)
+            counts, found = [], []
+            for text, before in zip(texts, had, strict=True):
+                w, now = scan((text or "").encode("utf-8", "replace"), made)
+                counts.append(len(w))
+                found.append([(h["first"], h["last"], h["item"]) for h in before or ()] + now)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *result(texts, counts, found)], names=[*names, *added.names])
+
+    schema = T.StructType([*(f for n in names for f in docs.schema if f.name == n), *added])
+    return docs.mapInArrow(run, schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Per document: words, words inside a window's occurrence, items hit, spans of the original, and the verdict.
+
+    contaminated: some word is hit, and share * n_hit >= n_words.
+    """
+
+    def result(texts, counts, found):
+        rows = []
+        for text, n, hits in zip(texts, counts, found, strict=True):
+            runs = runs_of([x[:2] for x in hits])
+            n_hit = sum(b - a + 1 for a, b in runs)
+            rows.append((n, n_hit, sorted({x[2] for x in hits}), original_spans(text, runs) if runs else [], n_hit > 0 and share * n_hit >= n))
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)]
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return scanned(rows, benchmark, width, shard_bytes, ["doc_id"], T.StructType.fromDDL(OUT), result)
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: int = 20, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """All columns of the documents, `contaminated`, and `clean`: the text without the words that are hit."""
+    docs = docs.drop("contaminated", "clean")
+
+    def result(texts, counts, found):
+        verdicts, clean = [], []
+        for text, n, hits in zip(texts, counts, found, strict=True):
+            runs = runs_of([x[:2] for x in hits])
+            n_hit = sum(b - a + 1 for a, b in runs)
+            verdicts.append(n_hit > 0 and share * n_hit >= n)
+            at, parts = 0, []
+            for s in original_spans(text, runs) if runs else ():
+                parts.append(text[at : s["start"]])
+                at = s["end"]
+            clean.append(text if text is None or not runs else "".join((*parts, text[at:])))
+        return [pa.array(verdicts, pa.bool_()), pa.array(clean, pa.string())]
+
+    return scanned(docs, benchmark, width, shard_bytes, docs.columns, T.StructType.fromDDL("contaminated boolean, clean string"), result)
