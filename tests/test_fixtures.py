@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.functions import chain, sentences, wikitext
-from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, sampling, splits, trees
+from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, properties, sampling, splits, trees
+from textloom.operators.running import running_total
 from textloom.plans.table_queries import FOX, dep_tree_rows, graph_centrality, graph_edges
 
 
@@ -165,6 +166,69 @@ def test_centrality_of_documents(spark, tmp_path):
     assert got == want and len({n for s, n in got if s >> 31 == 2}) == 120
 
 
+def test_sentence_rules(spark):
+    cases = {
+        "": [""], "A": ["A"], "Mr. Paul? Non": ["Mr.", " Paul?", " Non"], "Mr. paul vint": ["Mr. paul vint"], "un Ph.D. ici": ["un Ph.D. ici"], "A.B.C. x": ["A.B.C. x"],
+        "St.E. x": ["St.E.", " x"], "Acme Inc. a dit 3.14. ok": ["Acme Inc. a dit 3.14.", " ok"], "x. y <stop> <prd> z.": ["x.", " y <stop> <prd> z.", ""], "Fini. ": ["Fini.", " "],
+    }
+    for text, want in cases.items():
+        assert one(spark, text, sentences.pieces) == want
+    assert one(spark, None, sentences.pieces) is None
+
+
+def test_running_total(spark):
+    rows = [(i % 7, i, i * i % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, v int").repartition(5)
+    got = {r.b: (r.upto, r.until, r.nth) for r in running_total(running_total(running_total(df, ["a", "b"], "v", "upto"), ["a", "b"], "v", "until", before=True), ["a", "b"], None, "nth").collect()}
+    total = 0
+    for n, (_, b, v) in enumerate(sorted(rows)):
+        assert got[b] == (total + v, total, n + 1)
+        total += v
+    assert running_total(df.limit(0), ["a"], "v", "t").count() == 0
+
+
+def test_kept_templates(spark):
+    assert one(spark, "a {{citation|" + "|".join("bcdefghijklm") + "}} z {{unité|5}}{{nobr}}", lambda c: chain.run(c, wikitext.KEPT)) == "a " + " ".join("bcdefghijklm") + " z 5"
+    for text, want in {"{{sp-|XII|e|et|XIII|e|s}}": "XIIe-XIIIe siècles", "{{-s-|IV}}": "IVe siècle", "{{Album|a={{date|1}} b}}x": "x", "{{Infobox V\n|n={{a|b}}\n}}x": "x", "{| a\n{| b |}\n|}x": "x", "[[Fichier:a|b [[c]] d]]x": "x", "[[a|b|c]]": "b|c", "<b class='x'>g</b><br/>": "g"}.items():
+        assert one(spark, text, wikitext.clean) == want
+
+
+def test_find(spark):
+    tokens = spark.createDataFrame([(1, i + 1, w) for i, w in enumerate("le le roi de de France le roi".split())], "k long, idx long, word string")
+    packed = graph.blanked(tokens, "k").groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("w"))
+    at = lambda *part: [tuple(x) for x in packed.select(graph.find(F.col("w"), F.array(*map(F.lit, part)))).first()[0]]
+    assert at("le", "roi") == [(1, 3), (7, 8)] and at("roi", "de", "France") == [(3, 6)] and at("France") == [(6, 6)] and at("x") == []
+
+
+def test_contraction(spark):
+    tokens = spark.createDataFrame([(1, 1, "Jeanne", 4), (1, 2, "d", 1), (1, 3, "Arc", 1), (1, 4, "vit", 0), (1, 5, "vit", 4), (1, 6, ".", 4)], "k long, idx long, word string, head long")
+    spans = spark.createDataFrame([(1, 1, 3)], "k long, first long, last long")
+    nodes = graph.contracted(tokens, spans, "k")
+    assert [r.node for r in nodes.orderBy("idx").collect()] == [1, 1, 1, 4, 4, 6]
+    assert sorted((r.u, r.v, r.weight) for r in graph.contracted_edges(nodes, "k").collect()) == [(1, 4, 0.2), (4, 6, 0.2)]
+    rows = tokens.withColumn("rel", F.when(F.col("word") == "d", "punct").otherwise("dep")).withColumn("head", F.when(F.col("idx") == 3, 2).otherwise(F.col("head")))
+    assert [(r.idx, r.head) for r in graph.without_signs(rows, "k").orderBy("idx").collect()] == [(1, 4), (3, 1), (4, 0), (5, 4), (6, 4)]
+    graphs = graph.contracted_edges(nodes, "k").groupBy("k").agg(F.collect_list(F.struct("u", "v", "weight")).alias("edges"))
+    ask = spark.createDataFrame([("p", 1, 1, 6), ("q", 1, 1, None), ("r", 2, 1, 6)], "id_entities_pair string, k long, a long, b long")
+    got = {r.id_entities_pair: (r.lemma, r.dep) for r in graph.paths(ask, graphs, trees.trees(tokens.withColumn("lemma", F.upper("word")).withColumn("rel", F.lit("r")), "k"), "k").collect()}
+    assert got == {"p": ("VIT", "r"), "q": (None, None), "r": (None, None)}
+
+
+def test_encoders(spark):
+    vocab = encode.vocabulary(spark.createDataFrame([("b/a",), ("c",)], "p string"), "p")
+    assert {r.word: r.code for r in vocab.collect()} == {"UKNWN": 1, "a": 2, "b": 3, "c": 4}
+    met = spark.createDataFrame([(1, "c/x/a"), (2, ""), (3, None)], "k long, p string")
+    assert {r.k: r.codes for r in encode.encoded(met, "k", "p", vocab).collect()} == {1: [4, 1, 2], 2: [], 3: []}
+    v = spark.range(1).select(encode.step_vector(F.lit(None).cast("array<double>"), F.lit("nsubj"), F.lit("none"))).first()[0]
+    assert len(v) == 153 and [i for i, x in enumerate(v) if x] == [103]
+    assert one(spark, "a-b-,c", lambda c: graph.kept_split(F.split(c, ","), "-")) == ["a-", "b-", "", "c"]
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, x string")
+    yes, no = evaluate.routed(rows, spark.createDataFrame([(1, "P17"), (2, "None")], "k long, predicted string"), "k")
+    assert [r.k for r in yes.collect()] == [1] and [r.k for r in no.collect()] == [2]
+    scores = F.array(F.lit(0.1), F.lit(0.9), F.lit(0.9))
+    assert spark.range(1).select(evaluate.decoded(scores, properties.classes())).first()[0] == properties.classes()[1] and len(properties.classes()) == 180
+
+
 def test_kb(spark):
     reply = '{"results":{"bindings":[{"item":{"value":"http://kb/Q1"},"lemma":{"value":"a"}},{"lemma":{"value":"b"}}]}}'
     assert [tuple(r) for r in one(spark, reply, lambda c: kb.decode(c, "item", "lemma"))] == [("http://kb/Q1", "a"), (None, "b")]

@@ -41,6 +41,11 @@ def test_sqlite(spark, tmp_path):
         con.executemany("INSERT INTO entities VALUES (?, ?)", [(f"e{i}", i) for i in range(100)])
     df = sqlite.read_table(spark, path, "entities", 4)
     assert df.columns == ["rowid", "surface_form", "start"] and df.count() == 100 and df.selectExpr("sum(start)").first()[0] == 4950
+    more = df.select("surface_form", "start").repartition(3)
+    sqlite.append_table(more, path, "entities", batch=7)
+    assert sqlite.read_table(spark, path, "entities").selectExpr("count(*)", "count(DISTINCT start)", "sum(start)").first() == (200, 100, 9900)
+    sqlite.append_table(spark.createDataFrame([(1, 0.5, None)], "a long, b double, c string"), path, "other")
+    assert [tuple(r) for r in sqlite.read_table(spark, path, "other").collect()] == [(1, 1, 0.5, None)] and sorted(p.name for p in tmp_path.iterdir()) == ["x.db"]
 
 
 def test_files(spark, tmp_path):
@@ -50,6 +55,21 @@ def test_files(spark, tmp_path):
     assert got.entity2 == 'b "q"' and got.original_sentence == "line\ntwo" and got.relation == "" and got.ent2type == ""
     files.write_ids(spark.createDataFrame([(3,), (1,)], "id long"), str(tmp_path / "ids"))
     assert sorted(r[0] for r in files.read_ids(spark, str(tmp_path / "ids")).collect()) == [1, 3]
+    (tmp_path / "vectors.txt").write_text("2 3\nle 0.5 1 -2\nété 1 2 3\n")
+    assert {r.word: r.vec for r in files.read_vectors(spark, str(tmp_path / "vectors.txt")).collect()} == {"le": [0.5, 1, -2], "été": [1, 2, 3]}
+
+
+def test_stage(spark, tmp_path):
+    """Keys of which nothing comes are not asked for again."""
+    rows, asked = spark.range(6).withColumnRenamed("id", "k"), []
+
+    def odd(df):
+        asked.append(sorted(r.k for r in df.collect()))
+        return df.where("k % 2 = 1")
+
+    for n in (4, 4, 6):
+        assert resume.stage(rows.where(f"k < {n}"), str(tmp_path / "t"), "k", odd).count() == n // 2
+    assert asked == [[0, 1, 2, 3], [], [4, 5]]
 
 
 def test_stream(spark, tmp_path):

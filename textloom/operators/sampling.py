@@ -9,13 +9,14 @@ FACTOR, PRIME = 2654435761, 1000003  # fixed values of the portable hash
 
 
 def portable_hash(key: Column, seed: int) -> Column:
-    """The same number in any engine: keys stay below 2 ** 31 for 64-bit products."""
-    return F.pmod(key.cast("long") * F.lit(FACTOR) + F.lit(seed), F.lit(PRIME))
+    """The same number in any engine: keys are taken modulo 2 ** 31 - 1, so products fit in 64 bits."""
+    return F.pmod(F.pmod(key.cast("long"), F.lit((1 << 31) - 1)) * F.lit(FACTOR) + F.lit(seed), F.lit(PRIME))
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
-    """n rows without replacement, the least by hash; a top-k, so no full sort."""
-    return df.orderBy(portable_hash(F.col(key), seed), key).limit(n)
+    """n rows without replacement, the least by hash. Only keys, which must tell rows apart, are ordered (a top-k); the rows stay where they are until a semi-join."""
+    chosen = df.select(key).orderBy(portable_hash(F.col(key), seed), key).limit(n)
+    return df.join(chosen, key, "left_semi")
 
 
 def capped(df: DataFrame, types: tuple[str, ...], order: list[str], share: float = 0.95) -> DataFrame:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import pickle
 import sqlite3
+import uuid
 from collections.abc import Iterator
+from contextlib import closing
+from itertools import islice
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 TYPES = {"INTEGER": "long", "INT": "long", "BIGINT": "long", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BLOB": "binary"}
 
 
+SQL_TYPES = {"long": "INTEGER", "integer": "INTEGER", "short": "INTEGER", "byte": "INTEGER", "double": "REAL", "float": "REAL", "binary": "BLOB"}
+
+
 class Range(InputPartition):
     def __init__(self, low: int, high: int):
         self.low, self.high = low, high
@@ -32,6 +40,11 @@ class SqliteSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return SqliteReader(self.options, [f.name for f in schema])
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        if overwrite:
+            raise ValueError("SQLite tables are only appended to")
+        return SqliteWriter(self.options, schema)
+
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options, columns: list[str]):
@@ -54,6 +67,46 @@ class SqliteReader(DataSourceReader):
             yield from con.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?', (part.low, part.high))
 
 
+class Written(WriterCommitMessage):
+    def __init__(self, part: str):
+        self.part = part
+
+
+class SqliteWriter(DataSourceWriter):
+    """Tasks leave their rows in files beside the database; all of them are inserted in one transaction at the end, so a task that runs twice adds nothing."""
+
+    def __init__(self, options, schema: StructType):
+        self.path, self.table, self.batch = options["path"], options["table"], int(options.get("batch", "200"))
+        self.columns = [(f.name, SQL_TYPES.get(f.dataType.typeName(), "TEXT")) for f in schema]
+
+    def write(self, rows: Iterator[Row]) -> Written:
+        part = f"{self.path}.{uuid.uuid4().hex}.part"
+        with open(part, "wb") as f:
+            while chunk := [tuple(r) for r in islice(rows, self.batch)]:
+                pickle.dump(chunk, f)
+        return Written(part)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        names = ", ".join(f'"{c}"' for c, _ in self.columns)
+        with closing(sqlite3.connect(self.path, timeout=60)) as con, con:
+            con.execute(f'CREATE TABLE IF NOT EXISTS "{self.table}" ({", ".join(f'"{c}" {t}' for c, t in self.columns)})')
+            for message in filter(None, messages):
+                with open(message.part, "rb") as f:
+                    while f.peek(1):
+                        con.executemany(f'INSERT INTO "{self.table}" ({names}) VALUES ({", ".join("?" for _ in self.columns)})', pickle.load(f))
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for message in filter(None, messages):
+            Path(message.part).unlink(missing_ok=True)
+
+
+def append_table(df: DataFrame, path: str, table: str, batch: int = 200) -> None:
+    """Append to a table of a database that driver and executors see; the table is made if it is not there."""
+    df.sparkSession.dataSource.register(SqliteSource)
+    df.write.format("sqlite").mode("append").option("path", path).option("table", table).option("batch", str(batch)).save()
+
+
 def read_table(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
     spark.dataSource.register(SqliteSource)
     return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", str(partitions)).load()

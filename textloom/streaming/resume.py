@@ -21,9 +21,16 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def stage(rows: DataFrame, path: str, key: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Transform the rows whose key is not in the table at `path` yet, append them, return the whole table."""
-    done = existing(rows.sparkSession, path)
-    append(transform(rows if done is None else unseen(rows, done, key)), path)
+    """Transform the rows whose key has not been seen yet, append what comes of them to the table at `path`, return the whole table.
+
+    Keys of which nothing comes are noted beside it, so that they are not asked for again.
+    """
+    new = rows
+    for done in (existing(rows.sparkSession, path), existing(rows.sparkSession, f"{path}.done")):
+        new = new if done is None else unseen(new, done, key)
+    keys = new.select(key).distinct()
+    append(transform(new), path)
+    append(keys, f"{path}.done")
     return rows.sparkSession.read.parquet(path)
 
 
