@@ -3,14 +3,16 @@
 Samples are cut into overlapping frames; the energy of each frame's spectrum is folded into twelve pitch classes, smoothed
 over time and normalised: an image of pitch classes over time. Sixteen filters, differences of rectangle sums read from an
 integral image, are each quantised to two Gray-coded bits, which gives one 32-bit integer for each place of a window that
-slides over the image. Recordings are aligned by the integers that they share: the histogram of offsets between equal
-signs of integers names offsets, and the bit errors over the whole overlap at each decide.
+slides over the image. Samples are read as a stream, so a recording of any length costs the memory of its integers.
+Recordings are aligned by the integers that they share: the histogram of offsets between equal signs of integers names
+offsets, and the bit errors over the whole overlap at each decide. An overlap of few integers proves less than a long one,
+so the share of errors that it may have falls with its length.
 
 Equal contents are one class, fingerprinted and aligned once. Queries are recordings flagged as such, held against all
 classes.
 
 Defined cases: null media is empty; a recording with fewer frames than the filters' window has no integers and matches
-nothing; silence and held notes have a fingerprint like any sound, and meet as runs; repeated rows share a class; an empty table gives no rows; columns other
+nothing but equal contents; silence and held notes have a fingerprint like any sound, and meet as runs; repeated rows share a class; an empty table gives no rows; columns other
 than the keys, the media and the flag are ignored.
 """
 
@@ -18,7 +20,8 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import blocks, written
+from textloom.llm.common import blocks, mix, written
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,7 @@ class Settings:
     step: int = 1365
     low: float = 28.0
     high: float = 3520.0
-    min_overlap: int = 16
+    min_overlap: int = 16  # or all of the shorter recording; shorter overlaps may have a share of errors in proportion
     max_error: float = 0.15
     min_votes: int = 1
 
@@ -57,58 +60,87 @@ def filters() -> list[tuple[int, int, int, int, float]]:
     return out
 
 
-def wav_samples(raw: bytes | None, rate: int) -> np.ndarray:
-    """Mono samples in -1 .. 1 at `rate`, by linear interpolation."""
+def wav_samples(raw: bytes | None, rate: int) -> Iterator[np.ndarray]:
+    """Mono samples in -1 .. 1 at `rate`, by linear interpolation, in pieces."""
     if not raw:
-        return np.zeros(0, np.float32)
+        return
     with wave.open(io.BytesIO(raw)) as w:
         kind = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}[w.getsampwidth()]
-        x = np.frombuffer(w.readframes(w.getnframes()), kind).astype(np.float32).reshape(-1, w.getnchannels()).mean(1)
-        x = (x - 128) / 128 if w.getsampwidth() == 1 else x / float(1 << (8 * w.getsampwidth() - 1))
-        if w.getframerate() != rate and len(x):
-            n = max(1, round(len(x) * rate / w.getframerate()))
-            x = np.interp(np.arange(n) * (w.getframerate() / rate), np.arange(len(x)), x).astype(np.float32)
-    return x.astype(np.float32)
-
-
-NOTE, TONES = 256, 48
+        total, ratio = w.getnframes(), w.getframerate() / rate
+        n, done, seen, last = max(1, round(total / ratio)), 0, 0, np.zeros(0, np.float32)
+        while seen < total:
+            x = np.frombuffer(w.readframes(READ), kind).astype(np.float32).reshape(-1, w.getnchannels()).mean(1)
+            if not len(x):
+                return
+            x = (x - 128) / 128 if w.getsampwidth() == 1 else x / float(1 << (8 * w.getsampwidth() - 1))
+            seen += len(x)
+            x = np.concatenate([last, x])  # the sample before, for the places between
+            stop = n if seen >= total else min(n, int((seen - 1) / ratio) + 1)
+            at = np.arange(done, stop) * ratio - (seen - len(x))
+            done, last = stop, x[-1:]
+            yield np.interp(at, np.arange(len(x)), x).astype(np.float32)
+
+
+NOTE, TONES, CHORD = 512, 36, 3
+READ = 1 << 16  # samples decoded at a time
+FRAMES = 1 << 12  # frames turned into integers at a time
 
 
 @cache
 def _tones(rate: int, note: int) -> np.ndarray:
-    return np.sin(2 * np.pi * np.arange(note) * (110 * 2 ** (np.arange(TONES)[:, None] / 12)) / rate).astype(np.float32)
+    return (np.sin(2 * np.pi * np.arange(note) * (220 * 2 ** (np.arange(TONES)[:, None] / 12)) / rate) / CHORD).astype(np.float32)
 
 
-def spoken(text: str | None, rate: int, note: int = NOTE) -> np.ndarray:
-    """A melody for a text: each word is a note of `note` samples whose pitch its letters choose. A stand-in for recordings in tables of text."""
+def spoken(text: str | None, rate: int, note: int = NOTE) -> Iterator[np.ndarray]:
+    """A melody for a text, in pieces: each word is a chord of CHORD tones, `note` samples long, that its letters choose. A stand-in for recordings in tables of text."""
     words = (text or "").split()
-    if not words:
-        return np.zeros(0, np.float32)
-    pitch = np.array([sum(w.encode("utf-8", "replace")) * 31 + len(w) for w in words]) % TONES
-    return _tones(rate, note)[pitch].ravel()
+    tones, step = _tones(rate, note), max(1, READ // note)
+    for i in range(0, len(words), step):
+        hashed = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words[i : i + step]], np.int64)
+        yield sum(tones[hashed // TONES**k % TONES] for k in range(CHORD)).ravel()
 
 
-def chroma(x: np.ndarray, s: Settings) -> np.ndarray:
-    """Frames by twelve pitch classes, each frame of length 1 (or 0 in silence)."""
-    n = (len(x) - s.frame) // s.step + 1
-    if n < 1:
-        return np.zeros((0, 12))
+def energies(pieces: Iterable[np.ndarray], s: Settings) -> Iterator[np.ndarray]:
+    """Blocks of frames by twelve pitch classes: the energy of each."""
     freq = np.fft.rfftfreq(s.frame, 1 / s.rate)
     used = (freq >= s.low) & (freq <= s.high)
     fold = np.zeros((int(used.sum()), 12), np.float32)
     fold[np.arange(len(fold)), np.round(12 * np.log2(freq[used] / 440)).astype(int) % 12] = 1
-    shape = np.hamming(s.frame).astype(np.float32)
-    image = np.empty((n, 12))
-    for i in range(0, n, 256):
-        part = np.lib.stride_tricks.sliding_window_view(x, s.frame)[i * s.step : (min(n, i + 256) - 1) * s.step + 1 : s.step]
-        spectrum = np.fft.rfft(part * shape)[:, used]
-        image[i : i + 256] = (spectrum.real**2 + spectrum.imag**2) @ fold
-    padded = np.pad(image, ((2, 2), (0, 0)), mode="edge")
+    shape, held = np.hamming(s.frame).astype(np.float32), np.zeros(0, np.float32)
+    for piece in pieces:
+        held = np.concatenate([held, piece])
+        n = (len(held) - s.frame) // s.step + 1
+        for i in range(0, n, 256):
+            part = np.lib.stride_tricks.sliding_window_view(held, s.frame)[i * s.step : (min(n, i + 256) - 1) * s.step + 1 : s.step]
+            spectrum = np.fft.rfft(part * shape)[:, used]
+            yield (spectrum.real**2 + spectrum.imag**2) @ fold
+        held = held[max(0, n) * s.step :]
+
+
+def smoothed(padded: np.ndarray) -> np.ndarray:
+    """Frames smoothed over time, each of length 1 (or 0 in silence); two frames at either end of `padded` go."""
+    n = max(0, len(padded) - 4)
     image = sum(w * padded[k : k + n] for k, w in enumerate(SMOOTH))
     norm = np.sqrt((image**2).sum(1, keepdims=True))
     return np.where(norm > 0.01, image / np.maximum(norm, 0.01), 0)
 
 
+def recording_codes(pieces: Iterable[np.ndarray], s: Settings) -> np.ndarray:
+    """The integers of one recording, from its samples in pieces."""
+    out, held, waiting = [], np.zeros((0, 12)), 0
+    more, last = [], None
+    for block in energies(pieces, s):
+        more += [block[:1], block[:1], block] if last is None else [block]  # the first frame stands for two before it
+        last, waiting = block[-1:], waiting + len(block)
+        if waiting >= FRAMES:
+            held, more, waiting = np.concatenate([held, *more]), [], 0
+            out.append(codes(smoothed(held)))
+            held = held[max(0, len(held) - WINDOW - 3) :]
+    if last is not None:
+        out.append(codes(smoothed(np.concatenate([held, *more, last, last]))))
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
 def codes(image: np.ndarray) -> np.ndarray:
     """One packed 32-bit integer for each place of the window."""
     n = len(image) - WINDOW + 1
@@ -126,7 +158,7 @@ def codes(image: np.ndarray) -> np.ndarray:
         a, b = p + h, p + h // 2
         whole = area(0, w, p, a)
         if kind == 0:
-            plus, minus = whole, np.full(n, w * h * 0.2)
+            plus, minus = whole, np.full(n, w * h * 0.12)  # about what a chord of a few notes spreads over twelve classes
         elif kind == 1:
             plus = area(0, w, p, b)
             minus = whole - plus
@@ -137,60 +169,62 @@ def codes(image: np.ndarray) -> np.ndarray:
             plus = area(0, w // 2, p, b) + area(w // 2, w, b, a)
             minus = whole - plus
         elif kind == 4:
-            plus = area(0, w, p + h // 3, p + 2 * h // 3)
-            minus = (whole - plus) / 2
+            plus, inner = area(0, w, p + h // 3, p + 2 * h // 3), 2 * h // 3 - h // 3
+            minus = (whole - plus) * (inner / (h - inner))
         else:
-            plus = area(w // 3, 2 * w // 3, p, a)
-            minus = (whole - plus) / 2
+            plus, inner = area(w // 3, 2 * w // 3, p, a), 2 * w // 3 - w // 3
+            minus = (whole - plus) * (inner / (w - inner))
         value = np.log1p(np.maximum(plus, 0)) - np.log1p(np.maximum(minus, 0))
         level = (value > -step).astype(np.uint32) + (value > 0) + (value > step)
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))  # Gray code: neighbouring levels differ in one bit
     return out
 
 
-def fingerprint(media: DataFrame, decode: Callable[[object, int], np.ndarray] = wav_samples, settings: Settings = Settings()) -> DataFrame:
-    """(class_id, media) to (class_id, codes array<int>). A task holds one recording's samples at a time."""
+def fingerprint(media: DataFrame, decode: Callable[[object, int], Iterable[np.ndarray]] = wav_samples, settings: Settings = Settings()) -> DataFrame:
+    """(class_id, media) to (class_id, codes array<int>). A task holds a piece of one recording's samples at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "media", 256 << 10):
-            found = [codes(chroma(decode(x, settings.rate), settings)).view(np.int32) for x in batch.column("media").to_pylist()]
+            found = [recording_codes(decode(x, settings.rate), settings).view(np.int32) for x in batch.column("media").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("class_id"), pa.array(found, pa.list_(pa.int32()))], names=["class_id", "codes"])
 
     return media.select("class_id", "media").mapInArrow(run, "class_id long, codes array<int>")
 
 
-GAPS = ((0, 8), (0, 4), (0, 3, 6, 9), (0, 3, 6, 9))  # of the integers of a key: sixteen signs of two, or eight of four (either half)
-SHORT = 10  # recordings with fewer integers lack some kinds of key; they meet others by the signs of single integers
+GAPS = ((0, 6, 12, 18), (0, 4, 8, 12), (0, 2, 4, 6))  # of the integers of a key: sixteen signs of each of four
+NEAR = ((0, 2), (0, 1), (0,))  # keys of recordings with fewer than SHORT integers, which may lack some of those: signs of two, or one whole
+SHORT = 10
 BLOCK_CODES, BATCH_CODES, BATCH_PLACES = 1 << 20, 1 << 16, 1 << 19  # integers of queries held by a task, of recordings looked up at once, places compared at once
 
 
-def _packed(kind: int, parts: list[np.ndarray]) -> np.ndarray:
-    u = np.uint32
-    if kind < 2:
-        return (parts[0] & u(0xAAAAAAAA)) | ((parts[1] & u(0xAAAAAAAA)) >> u(1))
-    if kind == 2:
-        a, b, c, d = (x & u(0xAAAA0000) for x in parts)
-        return a | (b >> u(1)) | (c >> u(16)) | (d >> u(17))
-    a, b, c, d = (x & u(0xAAAA) for x in parts)
-    return a | (b >> u(1)) | (c << u(16)) | (d << u(15))
+def _packed(parts: list[np.ndarray]) -> np.ndarray:
+    """The signs of up to four integers, or one integer, in 64 bits."""
+    if len(parts) == 1:
+        return parts[0].astype(np.uint64)
+    out = np.zeros(len(parts[0]), np.uint64)
+    for k in range(0, len(parts), 2):
+        two = (parts[k] & np.uint32(0xAAAAAAAA)) | ((parts[k + 1] & np.uint32(0xAAAAAAAA)) >> np.uint32(1))
+        out = (out << np.uint64(32)) | two
+    return out
 
 
 def keys(flat: np.ndarray, ends: np.ndarray, asked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, recording, place, length) of recordings laid end to end: a run of places with one key, as silence and held notes have, is one row.
 
-    Short recordings ask by single integers, and all others answer; long ones ask so of short recordings only.
+    Short recordings ask by the near keys too, and all answer; long ones ask so of short recordings only.
     """
     sizes = np.diff(ends)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(flat)) - ends[owner]
-    short = sizes[owner] < SHORT
-    kinds = [(k, GAPS[k], at + GAPS[k][-1] < sizes[owner]) for k in range(4)]
-    kinds += [(4, (0,), short), (5, (0,), ~short)] if asked else [(4, (0,), np.ones(len(flat), bool)), (5, (0,), short)]
+    short, every = sizes[owner] < SHORT, np.ones(len(flat), bool)
+    kinds = [(k, gaps, every) for k, gaps in enumerate(GAPS)]
+    for k, gaps in enumerate(NEAR):  # even: short ones ask all; odd: long ones ask short ones
+        kinds += [(len(GAPS) + 2 * k, gaps, short if asked else every), (len(GAPS) + 2 * k + 1, gaps, ~short if asked else short)]
+    kinds = [(k, gaps, valid & (at + gaps[-1] < sizes[owner])) for k, gaps, valid in kinds]
     out = []
     for kind, gaps, valid in kinds:
         i = np.flatnonzero(valid)
-        packed = (flat[i] & np.uint32(0xAAAAAAAA)) if kind > 3 else _packed(kind, [flat[i + g] for g in gaps])
-        key = (np.int64(kind) << 32) | packed.astype(np.int64)
+        key = mix(_packed([flat[i + g] for g in gaps]) + np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64)))  # kinds apart but for chance, which the bit errors undo
         first = np.ones(len(i), bool)
         first[1:] = (key[1:] != key[:-1]) | (owner[i[1:]] != owner[i[:-1]])
         start = np.flatnonzero(first)
@@ -198,9 +232,21 @@ def keys(flat: np.ndarray, ends: np.ndarray, asked: bool) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _votes(asked: tuple, rows: tuple, x_sizes: np.ndarray, y_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+SEEN_BITS = 25
+
+
+def _seen(key: np.ndarray) -> np.ndarray:
+    """A bitmap of 4 MB that tells most keys apart from those asked for, which spares their search."""
+    bits = np.zeros(1 << SEEN_BITS, bool)
+    bits[(key >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _votes(asked: tuple, seen: np.ndarray, rows: tuple, x_sizes: np.ndarray, y_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(query, recording, offset, votes): runs of one key may begin or end together. `asked` is sorted by key."""
-    key, owner, at, length = rows
+    place = (rows[0] >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+    some = np.flatnonzero((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+    key, owner, at, length = (c[some] for c in rows)
     low, high = np.searchsorted(asked[0], key, "left"), np.searchsorted(asked[0], key, "right")
     hit = np.flatnonzero(high > low)
     less = int(x_sizes.max(initial=0))
@@ -244,15 +290,22 @@ def _errors(x: np.ndarray, x0: np.ndarray, y: np.ndarray, y0: np.ndarray, n: np.
     return out
 
 
-def _tested(x: np.ndarray, x0: np.ndarray, y: np.ndarray, y0: np.ndarray, n: np.ndarray, max_error: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which overlaps are within max_error, and their bit errors. One whose first half has too many for the whole is not read on."""
+def allowed(n: np.ndarray, s: Settings) -> np.ndarray:
+    """The share of errors that an overlap of n integers may have."""
+    return s.max_error * np.minimum(1.0, n / s.min_overlap)
+
+
+def _tested(x: np.ndarray, x0: np.ndarray, y: np.ndarray, y0: np.ndarray, n: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Which overlaps have no more errors than allowed, and their bit errors. One whose first half has too many for the whole is not read on."""
     half = (n + 1) // 2
     errors = _errors(x, x0, y, y0, half)
-    ok = np.flatnonzero(errors <= 32.0 * n * max_error)
+    most = allowed(n, s)
+    ok = np.flatnonzero(errors <= 32.0 * n * most)
     rest = ok[n[ok] > half[ok]]
     errors[rest] += _errors(x, (x0 + half)[rest], y, (y0 + half)[rest], (n - half)[rest])
     error = errors[ok] / (32.0 * n[ok])
-    return ok[error <= max_error], error[error <= max_error]
+    good = error <= most[ok]
+    return ok[good], error[good]
 
 
 def _flat(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -273,6 +326,7 @@ def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Setti
         asked = keys(x, x_ends, True)
         order = np.argsort(asked[0], kind="stable")
         asked = tuple(c[order] for c in asked)
+        seen = _seen(asked[0])
         for batch in batches:
             y_all, ends_all = _flat(batch.column("codes"))
             names, i = batch.column("class_id").to_numpy(zero_copy_only=False), 0
@@ -280,14 +334,14 @@ def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Setti
                 j = max(i + 1, int(np.searchsorted(ends_all, ends_all[i] + BATCH_CODES, "right")) - 1)
                 y, y_ends, own = y_all[ends_all[i] : ends_all[j]], ends_all[i : j + 1] - ends_all[i], names[i:j]
                 nx, ny = np.diff(x_ends), np.diff(y_ends)
-                q, r, offset, votes = _votes(asked, keys(y, y_ends, False), nx, ny)
+                q, r, offset, votes = _votes(asked, seen, keys(y, y_ends, False), nx, ny)
                 i = j
                 begin = np.maximum(0, -offset)
                 overlap = np.minimum(nx[q] - begin, ny[r] - offset - begin)
                 least = np.minimum(settings.min_overlap, np.minimum(nx[q], ny[r]))
                 ok = np.flatnonzero((ids[q] != own[r]) & (overlap >= least) & (votes >= settings.min_votes))
                 q, r, offset, votes, begin, overlap = (c[ok] for c in (q, r, offset, votes, begin, overlap))
-                ok, error = _tested(x, x_ends[q] + begin, y, y_ends[r] + begin + offset, overlap, settings.max_error)
+                ok, error = _tested(x, x_ends[q] + begin, y, y_ends[r] + begin + offset, overlap, settings)
                 q, r, offset, votes, overlap = (c[ok] for c in (q, r, offset, votes, overlap))
                 order = np.lexsort((offset, -overlap, error, r, q))
                 best = order[np.append(True, (q[order][1:] != q[order][:-1]) | (r[order][1:] != r[order][:-1]))[: len(order)]]
@@ -299,7 +353,7 @@ def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Setti
 def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(query_id, match_id, offset, overlap, votes, bit_error): for each query class and any other class the offset of least bit error.
 
-    prints: (class_id, codes). Places are looked up by keys of sign bits (the Gray codes' upper halves, which noise turns least)
+    prints: (class_id, codes). Equal contents are one class already. Places are looked up by keys of sign bits (the Gray codes' upper halves, which noise turns least)
     of spaced integers. All offsets that at least `min_votes` keys name are tested, and the bit errors alone decide. An overlap has
     `min_overlap` integers, or all of the shorter recording where it has fewer. A task holds one block of queries; recordings are
     read once for each block.
@@ -315,7 +369,7 @@ def aligned(prints: DataFrame, queries: DataFrame, settings: Settings = Settings
     return found
 
 
-def search(media: DataFrame, keys: list[str], decode: Callable[[object, int], np.ndarray] = wav_samples, settings: Settings = Settings()) -> DataFrame:
+def search(media: DataFrame, keys: list[str], decode: Callable[[object, int], Iterable[np.ndarray]] = wav_samples, settings: Settings = Settings()) -> DataFrame:
     """media: keys, media, is_query. A row for each recording: keys, class_id, n_codes, is_query and, for queries, matches between classes."""
     raw = F.coalesce(F.col("media").cast("binary"), F.lit(b""))
     rows = media.select(*keys, "media", F.coalesce("is_query", F.lit(False)).alias("is_query"), F.xxhash64(raw).alias("class_id"))

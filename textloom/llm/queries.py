@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -67,14 +66,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-RENDERED = chroma.Settings(rate=4000, frame=1024, step=341, low=80.0, high=1900.0)
-played = partial(chroma.spoken, note=1024)  # three frames a word: turns of six words or more have integers
+RENDERED = chroma.Settings(rate=4000, frame=512, step=128, low=200.0, high=1900.0, min_overlap=32)  # four frames a word: turns of six words or more have integers
 
 
 def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no sound, so each turn of `conversations` is played as a melody (chroma.spoken, a word as long as a frame) and is one recording."""
+    """The tables hold no sound, so each turn of `conversations` is played as a melody (chroma.spoken, a chord for each word, as long as a frame) and is one recording."""
     media = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("media"), (F.col("conv_id") % 50 == 0).alias("is_query"))
-    return chroma.search(media, ["conv_id", "turn"], played, RENDERED)
+    return chroma.search(media, ["conv_id", "turn"], chroma.spoken, RENDERED)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
