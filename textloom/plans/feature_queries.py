@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions import chain
-from textloom.operators import encode, evaluate, graph, pairs, properties, sampling, trees
+from textloom.functions import chain, wikitext
+from textloom.operators import encode, evaluate, graph, kb, mentions, pairs, properties, sampling, trees
 from textloom.plans import table_queries as base
 from textloom.plans.base import documents, found_sentences, table
 
@@ -121,6 +121,29 @@ def vector_flatten(spark: SparkSession, d: str) -> DataFrame:
     return e.select("label", F.size(encode.flat(F.col("a"))).cast("long").alias("n"), F.round(F.aggregate(encode.flat(F.col("a")), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
 
 
+def reply_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of a provider's JSON replies, made of events: two each, the second without optional fields."""
+    score = F.col("event_id") % 10 / 10
+    one = F.struct(F.lit(0).alias("start"), F.length("event_type").alias("end"), F.col("event_type").alias("entiteForme"), F.concat(F.lit("U"), "user_id").alias("wikiId"), score.alias("scoreWiki"), F.lit("lieu").alias("entiteType"))
+    two = F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit("Il").alias("entiteForme"), F.lit(None).cast("string").alias("wikiId"), F.lit(None).cast("double").alias("scoreWiki"), F.lit(None).cast("string").alias("entiteType"))
+    replies = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.array(one, two).alias("annotations"))).alias("reply"))
+    return mentions.from_reply(replies, "reply", "event_id")
+
+
+def reply_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Bindings of a knowledge base's JSON replies; the second lacks its item."""
+    text = F.format_string('{"results":{"bindings":[{"item":{"value":"http://kb/Q%d"},"lemma":{"value":"%s"}},{"lemma":{"value":"x"}}]}}', "s_suppkey", "s_name")
+    found = table(spark, d, "supplier").select("s_suppkey", F.posexplode(kb.decode(text, "item", "lemma")).alias("nth", "b"))
+    return found.select("s_suppkey", F.col("nth").cast("long").alias("nth"), kb.item_id(F.col("b.item")).alias("item"), F.col("b.lemma").alias("lemma"))
+
+
+def link_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Links of a fixture: one with a label and one without, after a document's beginning."""
+    text = F.concat(F.substring("text", 1, 60), F.lit(" [["), "lang", F.lit("|"), "source", F.lit("]] et [["), "source", F.lit("]]."))
+    found = documents(spark, d).select("doc_id", F.posexplode(wikitext.annotations(text)).alias("nth", "a"))
+    return found.select("doc_id", F.col("nth").cast("long").alias("nth"), "a.uri", "a.surface_form", F.col("a.offset").cast("long").alias("offset"))
+
+
 _SPAN_SQL = f"""{base.TOKENS}, cap AS (SELECT sid, idx, idx - row_number() OVER (PARTITION BY sid ORDER BY idx) AS run FROM tk WHERE regexp_matches(word, '^[A-Z]')),
 sp AS (SELECT sid, min(idx) AS first, max(idx) AS last FROM cap GROUP BY sid, run HAVING max(idx) > min(idx)),
 fresh AS (SELECT sid, idx, CASE WHEN lag(word) OVER w = word THEN NULL ELSE idx END AS f FROM tk WINDOW w AS (PARTITION BY sid ORDER BY idx)),
@@ -162,5 +185,10 @@ QUERIES = {
     "routed_rows": (routed_rows, f"WITH {base.CLASSIFIED} SELECT doc_id, lang, CASE WHEN score > 0.2 THEN 'related' ELSE 'none' END AS side FROM classified JOIN documents USING (doc_id)"),
     "pair_id_sets": (pair_id_sets, f"WITH {base.ORIENTED} SELECT (length(surface_form1) + length(surface_form2)) % 3 = 0 AS positive, count(*) AS n, max(start2) AS greatest FROM turned WHERE wikidata_id1 IS NOT NULL AND wikidata_id2 IS NOT NULL GROUP BY 1"),
     "token_kept_split": (token_kept_split, "SELECT doc_id, regexp_replace(replace(text, ' ', '|'), ',', ',|', 'g') AS tokens FROM documents"),
+    "reply_mentions": (reply_mentions, """SELECT event_id, 0 AS start, length(event_type)::INT AS "end", event_type AS surface_form, CASE WHEN event_id % 10 / 10.0 > 0.6 THEN 'U' || user_id ELSE '' END AS wiki_id, 'lieu' AS entity_type FROM events
+      UNION ALL SELECT event_id, 3, 5, 'Il', '', '' FROM events"""),
+    "reply_decode": (reply_decode, "SELECT s_suppkey, 0::BIGINT AS nth, 'Q' || s_suppkey AS item, s_name AS lemma FROM supplier UNION ALL SELECT s_suppkey, 1, '', 'x' FROM supplier"),
+    "link_annotations": (link_annotations, """WITH t AS (SELECT doc_id, lang, source, length(substr(text, 1, 60)) + 1 AS first FROM documents)
+      SELECT doc_id, 0::BIGINT AS nth, lang AS uri, source AS surface_form, first AS "offset" FROM t UNION ALL SELECT doc_id, 1, source, source, first + length(source) + 4 FROM t"""),
     "vector_flatten": (vector_flatten, "SELECT label, sum(len(embedding))::BIGINT AS n, round(sum(list_sum(embedding::DOUBLE[])), 3) AS total FROM embeddings GROUP BY 1"),
 }
