@@ -385,6 +385,19 @@ def test_token_files(docs, rows, empty):
     assert token_files.token_index(empty, queries.WORD_BPE, 1).count() == 0
 
 
+def test_pieces():
+    """Against the library, over texts of signs, contractions, digits, and letters of one, two and more bytes."""
+    plain = ["'", "'", "s", "t", "re", "ve", "ll", "d", "m", "S", "RE", "a", "é", "É", "ß", "µ", "²", "½", "1", "42", "×", "«", "¿", "-", "!", "...", "  ", "\n", " ", "ā", "į", "ª"]
+    other = [*plain, "\t", "İ", "日", "\u0301", "\xad", "\xa0", "Ÿ", "<|endoftext|>", "</w>", "\x7f", "\x00", "😀"]
+    r, exact, ours = random.Random(1), Tokenizer.from_file(queries.WORD_BPE), token_files.WordPieces(queries.WORD_BPE, 2)
+    exact.encode_special_tokens = True
+    said = ["".join(r.choice(plain if i % 3 else other) for _ in range(r.randint(0, 30))) for i in range(3000)] + ["", "'", "''s", "'re've'll'd'm", "x're", "1's", "é's", "x" * 5000]
+    for i in range(0, len(said), 250):
+        for t, ids in zip(said[i : i + 250], ours.encode(said[i : i + 250]), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == exact.encode(t, add_special_tokens=False).ids, t
+    assert ours.encode([]) == []
+
+
 def test_shard_lookup():
     class Kept(io.BytesIO):
         def close(self):

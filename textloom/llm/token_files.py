@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from contextlib import suppress
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm import files
-from textloom.llm.common import blocks, mix, new_path, strings, written
+from textloom.llm.common import blocks, mix, new_path, prefix_sums, span_hashes, strings, written
 from textloom.llm.mph import MinimalPerfectHash
 
 MAGIC = b"TLIDS\0\0\1"
@@ -120,11 +121,55 @@ class ShardReader:
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed by the tokenizer file
 
 
+SPACE, LETTER, DIGIT, SIGN, ODD = range(5)
+
+
+@cache
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of single bytes, and of two-byte characters from U+0080 on (by 64 for each first byte from 0xC2): what PIECE takes them for, and in lower case the (second) byte. ODD: left to the library."""
+
+    def kind(c: str) -> int:
+        if c in " \n":
+            return SPACE
+        if not c.isprintable() and c != "\xad" or c.isspace() or ord(c) > 0x12F:
+            return ODD
+        return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(c)[0], SIGN)
+
+    single = np.array([kind(chr(b)) if b < 128 else ODD for b in range(256)], np.uint8)
+    lower = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+    double = np.array([*(kind(chr(c)) for c in range(0x80, 0x140)), ODD], np.uint8)
+    second = np.array([*(chr(c).lower().encode()[-1] for c in range(0x80, 0x140)), 0], np.uint8)
+    return single, lower, double, second
+
+
+class PieceMemo:
+    """Ids of pieces by a 64-bit hash of their bytes: sorted keys, and where each one's ids stand."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, f"<u{self.width}")
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        sizes = np.array([len(x) for x in ids], np.int64) // self.width
+        starts = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.ids.dtype)])
+        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")  # of two sorted runs: a merge
+        self.keys, self.starts, self.sizes = (np.concatenate(x)[order] for x in ((self.keys, keys), (self.starts, starts), (self.sizes, sizes)))
+
+
 class WordPieces:
-    """Ids by the tokenizers library, each distinct chunk between blanks once.
+    """Ids by the tokenizers library, each distinct piece of the file's own pattern once.
 
-    White space never stands inside a token of this tokenizer, so chunks between blanks and line ends are independent.
-    Chunks of plain letters and signs are cut further by the file's own pattern, and the library sees each piece once.
+    Texts of Latin letters, digits and signs are cut into pieces all at once, as bytes; the library sees a piece when it comes for
+    the first time, many in one text. All other texts go by chunks, see chunked().
     """
 
     def __init__(self, path: str, width: int):
@@ -139,6 +184,7 @@ class WordPieces:
         self.is_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.memo = PieceMemo(width)
 
     def _cut(self):
         """The pattern, if the file normalises and splits as this class assumes, else None: chunks are then encoded whole."""
@@ -199,6 +245,34 @@ class WordPieces:
         chunks.update(zip(rest, self._raw(rest), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cut or not texts:
+            return self.chunked(texts)
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b"\n".join(raw) + b"\n\n\n", np.uint8)
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        starts, stops, lowered, odd = pieces_of(data, ends)
+        keys = span_hashes(prefix_sums(lowered), starts, stops)
+        kinds, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.memo.keys) > MEMO_ENTRIES:
+            self.memo.clear()
+        _, known = self.memo.find(kinds)
+        if not known.all():
+            said, new = lowered.tobytes(), first[~known]
+            words = [said[a:b].decode() for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+            self.memo.add(kinds[~known], self._words(words))
+        at, _ = self.memo.find(kinds)
+        sizes, begin = self.memo.sizes[at][inverse], self.memo.starts[at][inverse]
+        upto = np.cumsum(sizes)
+        ids = self.memo.ids[np.repeat(begin - upto + sizes, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        per_text = np.bincount(np.searchsorted(ends, starts, "right"), sizes, minlength=len(texts)).astype(np.int64)
+        flat, edge = ids.tobytes(), np.concatenate([[0], np.cumsum(per_text) * self.width]).tolist()
+        out = [flat[a:b] for a, b in zip(edge, edge[1:])]
+        for i, other in zip(odd, self.chunked([texts[i] for i in odd]), strict=True):
+            out[i] = other
+        return out
+
+    def chunked(self, texts: list[str]) -> list[bytes]:
+        """Each distinct chunk between blanks once: white space never stands inside a token of this tokenizer, so chunks between blanks and line ends are independent. Chunks of plain letters and signs are cut further by the file's own pattern."""
         flat, ends = [], [0]
         for t in texts:
             flat += t.replace("\n", " ").split(" ")
@@ -216,6 +290,36 @@ class WordPieces:
         return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
+def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Where the pieces of PIECE begin and end in texts that end (with a line end) at `ends`; all bytes in lower case; and the texts with characters that are left to the library, which have no pieces here."""
+    single, lower, double, second = _classes()
+    kind, lowered = single[data], lower[data]
+    high = np.flatnonzero(data >= 0xC0)
+    if len(high):
+        lead = data[high]
+        code = np.where((lead >= 0xC2) & (lead <= 0xC4), (lead.astype(np.int64) - 0xC2) * 64 + (data[high + 1] & 0x3F), len(double) - 1)
+        kind[high] = kind[high + 1] = double[code]
+        fine = high[double[code] != ODD]
+        lowered[fine + 1] = second[code[double[code] != ODD]]
+    odd = np.unique(np.searchsorted(ends, np.flatnonzero(kind == ODD), "right")).tolist()
+    for i in odd:
+        kind[(ends[i - 1] if i else 0) : ends[i]] = SPACE
+    new = np.ones(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | ((kind[1:] == DIGIT) & ((data[1:] & 0xC0) != 0x80))
+    # 's 't 'm 'd 're 've 'll: an apostrophe by itself takes these letters with it
+    quote = np.flatnonzero((data[:-2] == 0x27) & (kind[:-2] == SIGN) & (kind[1:-1] == LETTER))
+    quote = quote[new[quote]]
+    a, b = lowered[quote + 1], lowered[quote + 2]
+    both = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+    taken = quote + np.where(np.isin(a, np.frombuffer(b"stmd", np.uint8)), 2, np.where(both, 3, 0))
+    quote, taken = quote[taken > quote], taken[taken > quote]
+    new[quote + 1] = False
+    new[taken] = True
+    edge = np.flatnonzero(new)
+    inside = kind[edge] != SPACE
+    return edge[inside], np.append(edge[1:], len(data))[inside], lowered, odd
+
+
 @cache
 def _word_pieces(path: str, width: int) -> WordPieces:
     return WordPieces(path, width)
