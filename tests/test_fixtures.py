@@ -64,6 +64,25 @@ def test_mentions(spark):
     assert [(r.surface_form, r.entity_type) for r in m] == [("Jeanne d'Arc", "lieu"), ("Saint-Denis", "b")]
 
 
+def test_table_function(spark):
+    df = spark.createDataFrame([(1, "Anne et Paul"), (2, "rien"), (3, None)], "k long, sentence string")
+
+    def find(text):
+        import re
+
+        return [(m.start(), m.end(), m.group(), "", "personne") for m in re.finditer("[A-Z][a-z]+", text)]
+
+    got = mentions.provided(df, find, "k")
+    assert sorted((r.k, r.start, r.surface_form) for r in got.collect()) == [(1, 0, "Anne"), (1, 8, "Paul")]
+
+
+def test_tagged(spark):
+    reply = '{"tokens":[{"word":"Anne","lemma":"Anne","pos":"PROPN","ner":"PERSON"},{"word":"dort","lemma":"dormir","pos":"VERB"}]}'
+    df = spark.createDataFrame([(1, reply)], "k long, r string")
+    assert [tuple(r) for r in graph.tagged(df, "r", "k").collect()] == [(1, 1, "Anne", "PROPN"), (1, 2, "dort", "VERB")]
+    assert [r.tag for r in graph.tagged(df, "r", "k", tag="ner").collect()] == ["PERSON", None]
+
+
 def test_pairs(spark):
     df = spark.createDataFrame([(1, s, s + 3, n) for s, n in ((0, "a"), (10, "b"), (20, "c"), (30, "d"))], "k long, start long, end long, name string")
     found = pairs.near(df, ["k"], ["end"], ["start", "name"])

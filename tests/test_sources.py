@@ -59,6 +59,12 @@ def test_files(spark, tmp_path):
     assert {r.word: r.vec for r in files.read_vectors(spark, str(tmp_path / "vectors.txt")).collect()} == {"le": [0.5, 1, -2], "été": [1, 2, 3]}
 
 
+def test_widened(spark):
+    old = spark.createDataFrame([(1, "a", 2)], "id int, x string, more int")
+    got = files.widened(old, "id long, relation_id string, x string")
+    assert got.dtypes == [("id", "bigint"), ("relation_id", "string"), ("x", "string"), ("more", "int")] and tuple(got.first()) == (1, None, "a", 2)
+
+
 def test_stage(spark, tmp_path):
     """Keys of which nothing comes are not asked for again."""
     rows, asked = spark.range(6).withColumnRenamed("id", "k"), []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARSE = "struct<tokens: array<struct<word: string, lemma: string, pos: string>>, enhancedPlusPlusDependencies: array<struct<dep: string, governor: int, dependent: int>>>"
+PARSE = "struct<tokens: array<struct<word: string, lemma: string, pos: string, ner: string>>, enhancedPlusPlusDependencies: array<struct<dep: string, governor: int, dependent: int>>>"
 DEPENDENCY, ADJACENCY = 0.2, 1.0  # fixed values: edge weights
 LEXICON_TAGS = {"ADJ": "a", "ADV": "r", "VERB": "v", "NOUN": "n", "ADP": "prep", "AUX": "all", "CONJ": "coo", "DET": "det", "INTJ": "all", "NUM": "exclude", "PART": "all", "PRON": "all", "PROPN": "np", "PUNCT": "all", "SCONJ": "prel", "SYM": "exclude", "X": "all", "TOP": "exclude"}
 PRONOUN_TAGS = ("cln", "cla", "cld", "clg", "prel", "pro", "clr")
@@ -23,6 +23,14 @@ def tree_rows(parses: DataFrame, column: str, *keys: str) -> DataFrame:
     return p.select(*keys, F.col("d.dependent").cast("long").alias("idx"), token["word"].alias("word"), token["lemma"].alias("lemma"), token["pos"].alias("pos"), F.col("d.governor").cast("long").alias("head"), F.col("d.dep").alias("rel"))
 
 
+def tagged(parses: DataFrame, column: str, *keys: str, tag: str = "pos") -> DataFrame:
+    """(keys, idx, word, tag) of all tokens of a parser's JSON, in order; tag: pos or ner."""
+    if tag not in ("pos", "ner"):
+        raise ValueError("tag must be pos or ner")
+    p = parses.select(*keys, F.posexplode(F.from_json(column, PARSE)["tokens"]).alias("i", "t"))
+    return p.select(*keys, (F.col("i") + 1).cast("long").alias("idx"), F.col("t.word").alias("word"), F.col(f"t.{tag}").alias("tag"))
+
+
 def spaced(sentence: Column) -> Column:
     """A sentence as the parser gets it: no closing dots, blanks around signs."""
     return F.regexp_replace(F.regexp_replace(sentence, r"\.+$", ""), r"([,;:?!()\[\]{}«»'\"/’&])", " $1 ")

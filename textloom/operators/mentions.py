@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,19 @@ def from_reply(replies: DataFrame, reply: str, *keys: str) -> DataFrame:
     )
 
 
+def provided(sentences: DataFrame, find: Callable[[str], Iterable[tuple]], *keys: str) -> DataFrame:
+    """Mentions from a Python extractor, as a table function over each sentence: find(text) gives (start, end, surface_form, wiki_id, entity_type). For extractors that no expression can state; null sentences have none."""
+
+    class Mentions:
+        def eval(self, text: str):
+            if text is not None:
+                yield from find(text)
+
+    table = F.udtf(Mentions, returnType="start bigint, end bigint, surface_form string, wiki_id string, entity_type string")
+    found = sentences.lateralJoin(table(F.col("sentence").outer()))
+    return found.select(*keys, "start", "end", "surface_form", "wiki_id", "entity_type")
+
+
 def normalised(surface: Column, end: Column) -> tuple[Column, Column]:
     """Surface and end without a closing sign; acronyms and decimals keep theirs."""
     closing = surface.rlike(PUNCTUATION + "$") & ~surface.rlike(r"([A-Z]\.)([A-Z]\.)+") & ~surface.rlike(r"([0-9]+\.)[0-9]+")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FEATURES_OURS = "id1 long, id2 long, entity1 string, entity2 string, ent1type string, ent2type string, shortest_dependency_path_p string, shortest_dependency_path_w string, shortest_dependency_path_t string, original_sentence string, id_entities_pair long, relation string"
 FEATURES_XU = "id1 long, id2 long, entity1 string, entity2 string, word_path1 string, word_path2 string, dep_path1 string, dep_path2 string, pos_path1 string, pos_path2 string, original_sentence string, relation string, are_related int, id_entities_pair long"
@@ -35,6 +36,14 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(parts) > 2).select(F.element_at(parts, 1).alias("word"), F.slice(parts, F.lit(2), F.size(parts) - 1).cast("array<float>").alias("vec"))
 
 
+def widened(df: DataFrame, schema: str) -> DataFrame:
+    """The rows in a later schema: columns that they lack are null, others are cast; columns that it does not name come last."""
+    wanted = StructType.fromDDL(schema)
+    have = set(df.columns)
+    known = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+    return df.select(*known, *(c for c in df.columns if c not in wanted.names))
+
+
 def append(df: DataFrame, path: str) -> None:
     """The sink of every stage: files are committed as a whole, so nothing is buffered or lost at the end."""
     df.write.mode("append").parquet(path)
