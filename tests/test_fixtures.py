@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textloom.functions import chain, sentences, wikitext
@@ -176,6 +177,37 @@ def test_lightest_path():
                     assert graph._lightest(near, a, b) == (min(all_ways)[2] if all_ways else None)
 
 
+def test_centralities(monkeypatch):
+    """Against all simple paths, and the eigenvectors of the adjacency."""
+    r = random.Random(9)
+    for case in range(25):
+        monkeypatch.setattr(graph, "CELLS", 8 if case % 2 else 1 << 20)
+        links = [(a, b, r.choice((0.2, 1.0))) for a in range(1, 8) for b in range(a + 1, 8) if r.random() < 0.45] or [(1, 2, 0.2)]
+        near = graph._graph(*zip(*links))
+        names, n = sorted(near), len(near)
+
+        def ways(at, end, done, near=near):
+            if at == end:
+                yield [end]
+            for v in near[at]:
+                if v not in done and at != end:
+                    yield from ([at, *w] for w in ways(v, end, done | {v}))
+
+        want = dict.fromkeys(names, 0.0)
+        for a in names:
+            for b in names:
+                found = [(round(sum(near[x][y] for x, y in zip(w, w[1:])), 9), w) for w in ways(a, b, {a})] if a != b else []
+                best = [w for cost, w in found if cost == min(found)[0]]
+                for w in best:
+                    for x in w[1:-1]:
+                        want[x] += 1 / len(best) / (max(1, (n - 1) * (n - 2)) if n > 2 else 1)
+        nodes, *arcs = graph._arcs(*zip(*links))
+        assert nodes.tolist() == names and np.allclose(graph._betweenness(*arcs), [want[x] for x in names], atol=2e-6)
+        adjacent = np.array([[float(b in near[a]) for b in names] for a in names]) + np.eye(n)
+        v = np.linalg.matrix_power(adjacent, 200) @ np.ones(n)
+        assert np.allclose(graph._eigenvector(*arcs[:2]), v / np.linalg.norm(v), atol=2e-6)
+
+
 def test_centrality_of_documents(spark, tmp_path):
     rows = [(1, "a b c d e. f g h!"), (2, " ".join(f"w{i}" for i in range(120)) + ".")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

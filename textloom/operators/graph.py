@@ -6,6 +6,7 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -203,49 +204,67 @@ def centralities(packed: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, found in enumerate(batch.column("edges")):
-                near = _graph(*(found.values.field(c).to_pylist() for c in ("u", "v", "weight")))
-                between, vector, nodes = _betweenness(near), _eigenvector(near), sorted(near)
+                nodes, *arcs = _arcs(*(found.values.field(c).to_pylist() for c in ("u", "v", "weight")))
                 keys = batch.column(key).take(pa.array([i] * len(nodes), pa.int64()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(nodes, pa.int64()), pa.array([between[n] for n in nodes]), pa.array([vector[n] for n in nodes])], names=[key, "node", "betweenness", "eigenvector"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(nodes), pa.array(_betweenness(*arcs)), pa.array(_eigenvector(*arcs[:2]))], names=[key, "node", "betweenness", "eigenvector"])
 
     return packed.select(key, "edges").where("size(edges) > 0").mapInArrow(run, f"{key} {dict(packed.dtypes)[key]}, node long, betweenness double, eigenvector double")
 
 
-def _betweenness(near) -> dict[int, float]:
-    """Shares of lightest paths through each node, summed from each source outwards and back."""
-    total = dict.fromkeys(near, 0.0)
-    for source in near:
-        best, count, before, settled, heap = {source: 0.0}, {source: 1.0}, defaultdict(list), [], [(0.0, source)]
-        done = set()
-        while heap:
-            d, v = heapq.heappop(heap)
-            if v in done:
-                continue
-            done.add(v)
-            settled.append(v)
-            for w, weight in near[v].items():
-                new = round(d + weight, 9)
-                if w not in best or new < best[w]:
-                    best[w], count[w], before[w] = new, count[v], [v]
-                    heapq.heappush(heap, (new, w))
-                elif new == best[w] and w not in done:
-                    count[w] += count[v]
-                    before[w].append(v)
-        share = dict.fromkeys(settled, 0.0)
-        for w in reversed(settled):
-            for v in before[w]:
-                share[v] += count[v] / count[w] * (1 + share[w])
-            if w != source:
-                total[w] += share[w]
-    n = len(near)
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    return {k: round(v * scale, 6) for k, v in total.items()}
-
-
-def _eigenvector(near, rounds: int = 200) -> dict[int, float]:
-    x = dict.fromkeys(near, 1.0)
+CELLS = 1 << 20  # sources by nodes that are worked on at once
+
+
+def _arcs(us: list[int], vs: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in order, and for each where its neighbours begin, the neighbours' places and weights; of equal pairs the lighter."""
+    near = _graph(us, vs, weights)
+    nodes = np.array(sorted(near), np.int64)
+    sizes = np.array([len(near[n]) for n in nodes.tolist()], np.int64)
+    to = np.searchsorted(nodes, np.array([v for n in nodes.tolist() for v in near[n]], np.int64))
+    return nodes, np.concatenate([[0], np.cumsum(sizes)]), to, np.array([w for n in nodes.tolist() for w in near[n].values()])
+
+
+def _betweenness(begin: np.ndarray, to: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each node's share of the lightest paths between others, over all ordered pairs of others.
+
+    From many sources at once, nodes are settled in rounds of equal distance. A node's number of lightest paths is the sum of
+    those of its neighbours that are settled and lie on one; the same steps backwards hand the shares down.
+    """
+    n = len(begin) - 1
+    total, some = np.zeros(n), max(1, CELLS // max(n, 1))
+
+    def around(rows: np.ndarray, at: np.ndarray):
+        many = begin[at + 1] - begin[at]
+        which = np.repeat(np.arange(len(at)), many)
+        arc = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + begin[at][which]
+        return which, rows[which], to[arc], weight[arc]
+
+    for first in range(0, n, some):
+        k = min(some, n - first)
+        far, ways, done = np.full((k, n), np.inf), np.zeros((k, n)), np.zeros((k, n), bool)
+        source = np.arange(k), np.arange(first, first + k)
+        far[source], ways[source], rounds = 0.0, 1.0, []
+        while (nearest := far.min(where=~done, initial=np.inf)) < np.inf:
+            rows, at = np.nonzero((far == nearest) & ~done)
+            which, r, v, w = around(rows, at)
+            on = done[r, v] & (np.round(far[r, v] + w, 9) == nearest)  # neighbours before a node on its lightest paths
+            which, back = which[on], (r[on], v[on])
+            ways[rows, at] += np.bincount(which, ways[back], minlength=len(at))
+            rounds.append((rows, at, which, back))
+            ahead = ~done[r, v]
+            np.minimum.at(far, (r[ahead], v[ahead]), np.round(nearest + w[ahead], 9))
+            done[rows, at] = True
+        share = np.zeros((k, n))
+        for rows, at, which, back in reversed(rounds):
+            part = (1 + share[rows, at]) / ways[rows, at]
+            np.add.at(share, back, ways[back] * part[which])
+        share[source] = 0.0
+        total += share.sum(0)
+    return np.round(total / ((n - 1) * (n - 2)) if n > 2 else total, 6)
+
+
+def _eigenvector(begin: np.ndarray, to: np.ndarray, rounds: int = 200) -> np.ndarray:
+    x, owner = np.ones(len(begin) - 1), np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     for _ in range(rounds):
-        new = {n: x[n] + sum(x[m] for m in near[n]) for n in near}
-        norm = sum(v * v for v in new.values()) ** 0.5
-        x = {n: v / norm for n, v in new.items()}
-    return {n: round(v, 6) for n, v in x.items()}
+        x = x + np.bincount(owner, x[to], minlength=len(x))
+        x /= np.sqrt((x * x).sum())
+    return np.round(x, 6)
