@@ -1,7 +1,7 @@
 import bz2
 import sqlite3
 
-from textloom.operators import mentions
+from textloom.operators import mentions, trees
 from textloom.plans import pipeline
 from textloom.sources import dump, files, sqlite
 from textloom.streaming import resume
@@ -32,6 +32,17 @@ def test_dump_and_pipeline(spark, tmp_path):
         out = pipeline.build(spark, path, str(tmp_path / "out"), provider, links, triples, names, 10, "http://w/")
         rows = sorted((r.surface_form1, r.surface_form2, r.relation_name or "") for r in out.collect())
         assert ("Marie", "Lyon", "habite") in rows and ("Anne", "Rome", "") in rows and len(rows) == len(set(rows))
+    # " Marie habite Lyon." is parsed as Marie <- habite -> Lyon
+    said = spark.read.parquet(str(tmp_path / "out/sentences")).where("sentence LIKE '%Marie habite%'").first()
+    parse = [(1, "Marie", "marie", "PROPN", 2, "nsubj"), (2, "habite", "habiter", "VERB", 0, "ROOT"), (3, "Lyon.", "lyon", "PROPN", 2, "dobj"), (4, "Lyon", "lyon", "PROPN", 2, "dobj")]
+    tokens = spark.createDataFrame([(said.id_article, said.pos, *t) for t in parse], "id_article string, sentence_no long, idx long, word string, lemma string, pos string, head long, rel string")
+    made = pipeline.features(spark, str(tmp_path / "out"), tokens)
+    xu, ours = ({(r.entity1, r.entity2): r for r in made[k].collect()} for k in ("xu", "ours"))
+    pair = next(p for p in xu if p[0] == "Marie")
+    assert xu.keys() == ours.keys() and len(xu) == len(rows) and made["ours"].columns == [*trees.OURS]
+    assert (ours[pair].shortest_dependency_path_w, ours[pair].shortest_dependency_path_p, ours[pair].shortest_dependency_path_t) == (("habiter", "ROOT", "VERB") if pair[1] == "Lyon" else (None, None, None))
+    assert (xu[pair].are_related, xu[pair].relation) == (1, "kb/P1") and xu[pair].word_path1 == ("Marie/habite" if pair[1] == "Lyon" else None)
+    assert set(pipeline.features(spark, str(tmp_path / "out"), tokens, "xu", made["ours"].limit(1))) == {"xu"} and pipeline.features(spark, str(tmp_path / "out"), tokens, "xu", made["ours"].limit(1))["xu"].count() == 1
 
 
 def test_sqlite(spark, tmp_path):
