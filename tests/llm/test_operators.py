@@ -614,6 +614,30 @@ def test_chroma_stream(monkeypatch):
     assert len(chroma.recording_codes([], s)) == 0 == len(chroma.recording_codes([x[:600]], s))
 
 
+# -- texts over a block, and empty tables
+
+
+def test_long_and_empty(spark, empty):
+    """Texts of several blocks come through whole; empty tables give no rows."""
+    long = prose(500_000, 71)
+    assert len(long.encode()) > 2 << 20
+    df = spark.createDataFrame([(1, long), (2, "a b"), (3, long + " z")], "doc_id long, text string")
+    ids = {r.doc_id: r for r in bpe.decode(bpe.encode(df, queries.BYTE_BPE, public_tokenizers.PATTERN), queries.BYTE_BPE, public_tokenizers.PATTERN).collect()}
+    assert ids[1].decoded == long.encode() and ids[2].decoded == b"a b"
+    exact = Tokenizer.from_file(queries.WORD_BPE)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.token_index(df, queries.WORD_BPE, end_id=1).collect()}
+    want = np.array([*exact.encode(long, add_special_tokens=False).ids, 1], "<u4")
+    assert got[1] == (len(want), zlib.crc32(want.tobytes()))
+    turns = spark.createDataFrame([(5, 0, "user", long), (5, 1, "assistant", "<" + long)], "conv_id long, turn long, role string, text string")
+    r = chat.read_back(chat.formatted(turns)).first()
+    assert r.loss_sha256 == hashlib.sha256(("<" + long).encode()).hexdigest() and r.n_turns == 2 and r.formatted_chars == 2 * len(long) + sum(map((long + "<" + long).count, "\\#<")) + 1 + len("### user: </turn>\n### assistant: </turn>\n")
+    assert chat.read_back(chat.formatted(turns.limit(0))).count() == 0
+    assert bpe.decode(bpe.encode(empty, queries.BYTE_BPE, public_tokenizers.PATTERN), queries.BYTE_BPE, public_tokenizers.PATTERN).count() == 0
+    spans = suffix_dedup.dedup(df, 400).select("doc_id", "n_bytes", "n_removed").collect()
+    n = len(long.encode())
+    assert sorted(map(tuple, spans)) == [(1, n, n), (2, 3, 0), (3, n + 2, n)]
+
+
 # -- the queries, over whole tables
 
 
