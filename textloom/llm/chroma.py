@@ -232,23 +232,36 @@ def keys(flat: np.ndarray, ends: np.ndarray, asked: bool) -> tuple[np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-SEEN_BITS = 25
-
-
-def _seen(key: np.ndarray) -> np.ndarray:
-    """A bitmap of 4 MB that tells most keys apart from those asked for, which spares their search."""
-    bits = np.zeros(1 << SEEN_BITS, bool)
-    bits[(key >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little")
-
-
-def _votes(asked: tuple, seen: np.ndarray, rows: tuple, x_sizes: np.ndarray, y_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, recording, offset, votes): runs of one key may begin or end together. `asked` is sorted by key."""
-    place = (rows[0] >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
-    some = np.flatnonzero((seen[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-    key, owner, at, length = (c[some] for c in rows)
-    low, high = np.searchsorted(asked[0], key, "left"), np.searchsorted(asked[0], key, "right")
-    hit = np.flatnonzero(high > low)
+SEEN_BITS = 27
+
+
+class Asked:
+    """The keys of a block of queries, sorted, with the distinct ones, where each begins, and a bitmap of 16 MB that tells most other keys apart without a search."""
+
+    def __init__(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
+        order = np.argsort(rows[0], kind="stable")
+        key, self.owner, self.at, self.length = (c[order] for c in rows)
+        self.begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        self.key = key[self.begin]
+        self.begin = np.append(self.begin, len(key))
+        self.bits = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+        place = self.key >> np.uint64(64 - SEEN_BITS)
+        np.bitwise_or.at(self.bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are asked for, and the range of rows that ask for each."""
+        place = key >> np.uint64(64 - SEEN_BITS)
+        some = np.flatnonzero((self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1)
+        at = np.searchsorted(self.key, key[some])
+        same = self.key[np.minimum(at, len(self.key) - 1)] == key[some]
+        return some[same], self.begin[at[same]], self.begin[at[same] + 1]
+
+
+def _votes(asked: Asked, rows: tuple, x_sizes: np.ndarray, y_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, recording, offset, votes): runs of one key may begin or end together."""
+    hit, low, high = asked.find(rows[0])
+    owner, at, length = (c[hit] for c in rows[1:])
+    hit = np.arange(len(hit))
     less = int(x_sizes.max(initial=0))
     span, many = less + int(y_sizes.max(initial=0)) + 1, max(1, len(x_sizes))
     total, codes, counts = np.cumsum(high[hit] - low[hit]), [], []
@@ -257,8 +270,8 @@ def _votes(asked: tuple, seen: np.ndarray, rows: tuple, x_sizes: np.ndarray, y_s
         part, n = hit[:stop], high[hit[:stop]] - low[hit[:stop]]
         r = np.repeat(part, n)
         q = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)
-        begin, end = at[r] - asked[2][q], at[r] + length[r] - asked[2][q] - asked[3][q]
-        v, two, pair = np.minimum(length[r], asked[3][q]), np.flatnonzero(begin != end), (owner[r] * many + asked[1][q]) * span + less
+        begin, end = at[r] - asked.at[q], at[r] + length[r] - asked.at[q] - asked.length[q]
+        v, two, pair = np.minimum(length[r], asked.length[q]), np.flatnonzero(begin != end), (owner[r] * many + asked.owner[q]) * span + less
         code, count = _summed(np.append(pair + begin, (pair + end)[two]), np.append(v, v[two]))
         codes.append(code), counts.append(count)
         hit, total = hit[stop:], total[stop:] - total[stop - 1]
@@ -323,10 +336,7 @@ def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Setti
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, codes = shared.value
         x, x_ends = _flat(codes)
-        asked = keys(x, x_ends, True)
-        order = np.argsort(asked[0], kind="stable")
-        asked = tuple(c[order] for c in asked)
-        seen = _seen(asked[0])
+        asked = Asked(keys(x, x_ends, True))
         for batch in batches:
             y_all, ends_all = _flat(batch.column("codes"))
             names, i = batch.column("class_id").to_numpy(zero_copy_only=False), 0
@@ -334,7 +344,7 @@ def _held(prints: DataFrame, block: tuple[np.ndarray, pa.Array], settings: Setti
                 j = max(i + 1, int(np.searchsorted(ends_all, ends_all[i] + BATCH_CODES, "right")) - 1)
                 y, y_ends, own = y_all[ends_all[i] : ends_all[j]], ends_all[i : j + 1] - ends_all[i], names[i:j]
                 nx, ny = np.diff(x_ends), np.diff(y_ends)
-                q, r, offset, votes = _votes(asked, seen, keys(y, y_ends, False), nx, ny)
+                q, r, offset, votes = _votes(asked, keys(y, y_ends, False), nx, ny)
                 i = j
                 begin = np.maximum(0, -offset)
                 overlap = np.minimum(nx[q] - begin, ny[r] - offset - begin)
