@@ -28,7 +28,7 @@ from textloom.llm.common import blocks, mix, prefix_sums, span_hashes, strings
 BUCKET_BITS, DIM, NGRAMS = 20, 8, (3, 4)
 SAMPLE, SAMPLE_BYTES = 4000, 8 << 20
 EPOCHS, STEPS, RATE, SEED = 8, 16_000, 0.5, 11
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def _buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
-        for batch in blocks(batches, "text", 1 << 20):
+        for batch in blocks(batches, "text", PIECE):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(strings(batch.column("text"))))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))
