@@ -6,12 +6,14 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import wave
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -505,6 +507,45 @@ def test_lm_pieces():
             assert (before.encode() if before else None) == (so_far[-1] if so_far else None)
 
 
+def test_lm_ranges(spark, docs, rows, monkeypatch):
+    """However few partitions the session has, a range takes a share of the words that does not grow with the corpus."""
+    made, write = {}, lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, what, codec="snappy": made.setdefault(what, write(df, what, codec)))
+    monkeypatch.setattr(lm_scoring, "RANGE_WORDS", 300, raising=False)
+    monkeypatch.setattr(lm_scoring, "TASK_BLOCKS", 1, raising=False)
+    chosen = {d for d, _ in rows if d is not None and d % 2 == 0}
+    got = lm_scoring.cross_entropy_difference(docs, spark.createDataFrame([(d,) for d in chosen], "doc_id long"), block_bytes=20_000).collect()
+    same_losses(got, brute_difference(rows, chosen))
+    keys = Counter()
+    for part, raw in made["lm-sums"].where("block is not null").select("part", "n_all").collect():
+        keys[part] += len(lm_scoring._numbers(raw))
+    assert max(keys.values()) <= 2 * 1.3 * 300
+
+
+def test_lm_adding(monkeypatch):
+    """The sums of a range, in a few times the memory of its keys and counts."""
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(lm_scoring, "SLICE_KEYS", 10_000, raising=False)
+    monkeypatch.setattr(lm_scoring, "OUT_BYTES", 100_000, raising=False)
+    pool = np.unique(r.integers(1 << 40, 1 << 41, 60_000).astype(np.uint64))
+    sent = [(b, np.sort(r.choice(pool, 20_000, replace=False)), *r.integers(0, 70_000, (2, 20_000))) for b in range(30)]
+    planes = lm_scoring._planes
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b, *_ in sent], pa.int64()), pa.array([4] * 30, pa.int32()), pa.array([planes(np.diff(k, prepend=np.uint64(0))) for _, k, *_ in sent]), *(pa.array([planes(x[c]) for x in sent]) for c in (2, 3))], names=["block", "part", "keys", "n_all", "n_target"])
+    tracemalloc.start()
+    out = [row for got in lm_scoring._add(iter([batch])) for row in got.to_pylist()]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    wanted = [{k: int(n) for k, n in zip(pool, np.bincount(np.concatenate([np.searchsorted(pool, x[1]) for x in sent]), np.concatenate([x[c] for x in sent]), minlength=len(pool)), strict=True)} for c in (2, 3)]
+    word = {int(k) for _, k, *_ in sent for k in k.tolist() if k & 1}
+    assert [x for x in out if x["block"] is None] == [{"block": None, "part": 4, "n_all": None, "n_target": None, "kinds": len(word), "total_all": sum(wanted[0][k] for k in word), "total_target": sum(wanted[1][k] for k in word)}]
+    back = {x["block"]: x for x in out if x["block"] is not None}
+    assert len(back) == len(out) - 1 == 30
+    for b, k, *_ in sent:
+        for c, name in enumerate(("n_all", "n_target")):
+            assert lm_scoring._numbers(back[b][name]).tolist() == [wanted[c][x] for x in k.tolist()]
+    assert peak < 60 * 30 * 20_000, peak / 30 / 20_000  # bytes a key
+
+
 def test_scoring_twice(spark):
     """A document that occurs twice is likelier under the background than one that does not."""
     rows = [(i, " ".join(f"w{(i * 7919 + k * k) % 4001}" for k in range(60))) for i in range(40)] + [(100 + i, " ".join(f"w{(i * 7919 + k * k) % 4001}" for k in range(60))) for i in range(10)]

@@ -9,8 +9,9 @@ like the target.
 What is counted grows with the corpus, so no task and not the driver ever holds it all. Texts are written in blocks. A block
 sends its distinct words and pairs once, as sorted and packed hashes, to the tasks that own their ranges; these add up the
 blocks' counts and send back the sums in the block's own order; the block then scores its texts. A word that stands
-everywhere costs a range one number a block, so no range is hot. The exchange has a row for each block and range: for more
-ranges, take larger blocks.
+everywhere costs a range one number a block, so no range is hot. How many ranges there are follows the corpus, whatever the
+session's partitions, so that a range fits a worker; it is added up slice by slice. The exchange has a row for each block and
+range: for more ranges, take larger blocks.
 
 Words are what stands between ASCII blanks, told apart by 55-bit hashes. Defined cases: a null or empty text has no tokens
 and scores 0; without a target document the target model is the uniform one; a null doc_id or flag is no target; repeated
@@ -32,13 +33,18 @@ from textloom.llm.common import blocks, free, mix, prefix_sums, span_hashes, utf
 
 STRENGTH = 8.0
 BLOCK_BYTES = 2 << 20
+RANGE_WORDS = 3 << 20  # a range's share of the corpus's words, at most: about as many keys
+SLICE_KEYS = 1 << 18
+TASK_BLOCKS = 8
+HASH_BYTES = 1 << 18
+OUT_BYTES = 4 << 20
 BROADCAST_IDS = 1 << 20
 BOUNDARY = np.uint64(0x9D39247E33776D41)  # the hash of the mark at a text's begin and end
 _BLANK = np.zeros(256, bool)
 BLANKS = "\t\n\v\f\r "
 _BLANK[[ord(c) for c in BLANKS]] = True
 
-BLOCK = "block long, row array<long>, doc_id array<long>, is_target array<boolean>, before array<string>, ends array<boolean>, text array<string>"
+BLOCK = "block long, row array<long>, doc_id array<long>, is_target array<boolean>, before array<string>, ends array<boolean>, text array<string>, words long"
 PART = "block long, part int, keys binary, n_all binary, n_target binary"
 SUMS = "block long, part int, n_all binary, n_target binary, kinds long, total_all long, total_target long"
 PIECE = "row long, doc_id long, n_tokens long, n_scored long, target double, background double"
@@ -59,24 +65,25 @@ def _pieces(text: str, most: int) -> Iterator[tuple[str | None, str, bool]]:
 
 
 def _blocks(limit: int):
-    """Documents to BLOCK rows of at most `limit` characters of text, each piece with the number of its document."""
+    """Documents to BLOCK rows of at most `limit` characters of text, each piece with the number of its document, and how many words a block has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 33
-        block, row, held, size = serial, serial, [], 0
+        block, row, held, size, words = serial, serial, [], 0, 0
 
         def made() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*held, strict=True), kinds, strict=True))], names=["block", "row", "doc_id", "is_target", "before", "ends", "text"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([list(c)], pa.list_(t)) for c, t in zip(zip(*held, strict=True), kinds, strict=True)), pa.array([words], pa.int64())], names=["block", "row", "doc_id", "is_target", "before", "ends", "text", "words"])
 
         for batch in blocks(batches, "text", limit):
             for doc_id, text, flag in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "is_target")), strict=True):
                 for before, piece, last in _pieces(text, limit):
                     if held and size + len(piece) > limit:
                         yield made()
-                        block, held, size = block + 1, [], 0
+                        block, held, size, words = block + 1, [], 0, 0
                     held.append((row, doc_id, flag, before, last, piece))
                     size += len(piece)
+                    words += 1 + sum(map(piece.count, BLANKS))  # at most, with the text's end
                 row += 1
         if held:
             yield made()
@@ -93,7 +100,13 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff((~_BLANK[spaced]).astype(np.int8)))
     starts, ends = edge[::2] + 1, edge[1::2] + 1
     owner = np.searchsorted(offsets[1:] + np.arange(1, count + 1), starts, "left")
-    return span_hashes(prefix_sums(spaced), starts, ends), np.bincount(owner, minlength=count)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # some bytes at a time, as running sums take many times the text
+        a = starts[at]
+        stop = max(at + 1, int(np.searchsorted(ends, a + HASH_BYTES, "right")))
+        out[at:stop] = span_hashes(prefix_sums(spaced[a : ends[stop - 1]]), starts[at:stop] - a, ends[at:stop] - a)
+        at = stop
+    return out, np.bincount(owner, minlength=count)
 
 
 class Block:
@@ -168,29 +181,62 @@ def _send(parts: int):
     return run
 
 
+def _joined(blobs: list[bytes]) -> np.ndarray:
+    """The numbers of all blobs, end to end."""
+    ends = np.cumsum([0, *((len(x) - 1) // x[0] for x in blobs)])
+    out = np.empty(int(ends[-1]), np.uint64)
+    for x, a, b in zip(blobs, ends[:-1], ends[1:], strict=True):
+        out[a:b] = _numbers(x)
+    return out
+
+
+def _sum_up(keys: np.ndarray, counts: list[np.ndarray]) -> tuple[int, list[int]]:
+    """Put the sum over all places of its key in each place of the counts; how many words there are and their totals. A slice of the keys' values at a time, as sorting takes many times what is sorted."""
+    low, high, cuts = int(keys.min()), int(keys.max()) + 1, -(-len(keys) // SLICE_KEYS)
+    borders, kinds, totals = [low + (high - low) * k // cuts for k in range(cuts + 1)], 0, [0] * len(counts)
+    for a, b in zip(borders[:-1], borders[1:], strict=True):
+        at = np.flatnonzero((keys >= np.uint64(a)) & (keys < np.uint64(b)))
+        found, place = np.unique(keys[at], return_inverse=True)
+        word = found & np.uint64(1) == 1
+        kinds += int(word.sum())
+        for k, n in enumerate(counts):
+            sums = np.bincount(place, n[at], minlength=len(found)).astype(np.int64)
+            totals[k] += int(sums[word].sum())
+            n[at] = sums[place]
+    return kinds, totals
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums over all blocks of one range's keys, for each block in its order; and, in a row of no block, how many words there are and their totals."""
     names, rows = ["block", "part", "n_all", "n_target", "kinds", "total_all", "total_target"], []
     for batch in batches:
         rows += zip(*(batch.column(c).to_pylist() for c in ("part", "block", "keys", "n_all", "n_target")), strict=True)
-    rows.sort(key=lambda r: r[:2])
-    at = 0
-    while at < len(rows):
-        stop = at
-        while stop < len(rows) and rows[stop][0] == rows[at][0]:
-            stop += 1
-        keys = [np.cumsum(_numbers(r[2])) for r in rows[at:stop]]
-        sizes = [len(k) for k in keys]
-        kinds, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = [np.bincount(place, np.concatenate([_numbers(r[k]) for r in rows[at:stop]])).astype(np.int64) for k in (3, 4)]
-        word, begin = kinds & np.uint64(1) == 1, 0
-        one = [1, rows[at][0], int(word.sum()), *(int(s[word].sum()) for s in sums)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([one[1]], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in one[2:])], names=names)
-        for r, size in zip(rows[at:stop], sizes, strict=True):
-            here = place[begin : begin + size]
-            begin += size
-            yield pa.RecordBatch.from_arrays([pa.array([r[1]], pa.int64()), pa.array([r[0]], pa.int32()), *(pa.array([_planes(s[here])], pa.binary()) for s in sums), *(pa.nulls(1, pa.int64()) for _ in range(3))], names=names)
-        at = stop
+        del batch
+    rows.sort(key=lambda r: r[:2], reverse=True)
+    while rows:
+        part, own = rows[-1][0], []
+        while rows and rows[-1][0] == part:
+            own.append(rows.pop())
+        _, name, keys, *counts = map(list, zip(*own, strict=True))
+        del own
+        ends = np.cumsum([(len(x) - 1) // x[0] for x in keys])
+        counts = [_joined(counts.pop(0)) for _ in range(2)]
+        whole = np.empty(int(ends[-1]), np.uint64)
+        for i, b in enumerate(ends):
+            whole[b - (len(keys[i]) - 1) // keys[i][0] : b] = np.cumsum(_numbers(keys[i]))
+            keys[i] = None
+        kinds, totals = _sum_up(whole, counts)
+        del whole
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([part], pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in (kinds, *totals))], names=names)
+        at = begin = 0
+        while at < len(name):
+            sent, size, first = ([], []), 0, at
+            while at < len(name) and size < OUT_BYTES:
+                for x, n in zip(sent, counts, strict=True):
+                    x.append(_planes(n[begin : ends[at]]))
+                    size += len(x[-1])
+                begin, at = ends[at], at + 1
+            yield pa.RecordBatch.from_arrays([pa.array(name[first:at], pa.int64()), pa.array([part] * (at - first), pa.int32()), *(pa.array(x, pa.binary()) for x in sent), *(pa.nulls(at - first, pa.int64()) for _ in range(3))], names=names)
     free()
 
 
@@ -238,11 +284,13 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, strength: floa
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     flagged = rows.join(F.broadcast(chosen) if small else chosen, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     held = written(flagged.mapInArrow(_blocks(block_bytes), BLOCK), "lm-blocks", "zstd")
-    sent = held.mapInArrow(_send(n), PART)
-    sums = written(sent.repartitionById(n, F.col("part")).mapInArrow(_add, SUMS), "lm-sums", "zstd")
+    words, parts = held.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
+    ranges, tasks = max(n, -(-words // RANGE_WORDS)), max(n, -(-parts // TASK_BLOCKS))
+    sent = held.mapInArrow(_send(ranges), PART)
+    sums = written(sent.repartitionById(ranges, F.col("part")).mapInArrow(_add, SUMS), "lm-sums", "zstd")
     kinds, *totals = sums.where("block is null").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "total_all", "total_target"))).first()
-    whole = held.withColumn("part", F.lit(-1)).unionByName(sums.where("block is not null").select("block", "part", "n_all", "n_target"), allowMissingColumns=True)
-    pieces = whole.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(_score(kinds, tuple(totals), strength), PIECE)
+    whole = held.drop("words").withColumn("part", F.lit(-1)).unionByName(sums.where("block is not null").select("block", "part", "n_all", "n_target"), allowMissingColumns=True)
+    pieces = whole.repartition(tasks, "block").sortWithinPartitions("block", "part").mapInArrow(_score(kinds, tuple(totals), strength), PIECE)
     each = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_scored", "target", "background")))
     mean = lambda c: (F.col(c) / F.greatest("n_scored", F.lit(1))).alias(f"{c}_loss")
     return each.select("doc_id", "n_tokens", mean("target"), mean("background")).withColumn("score", F.col("target_loss") - F.col("background_loss"))
