@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -51,6 +52,15 @@ def test_titles(spark):
     assert one(spark, "émile (x)", lambda c: wikitext.url(c, "w/", quote=True)) == "w/%C3%A9mile_(x)"
 
 
+def test_capital(spark):
+    """Every letter becomes one letter, as DuckDB has it."""
+    letters = [chr(i) for i in range(1, 0x11000) if not 0xD800 <= i < 0xE000]
+    got = spark.createDataFrame([(c,) for c in letters], "c string").select("c", wikitext.capital(F.col("c")).alias("u")).collect()
+    want = dict(duckdb.sql("SELECT chr(i::INT) AS c, upper(chr(i::INT)) FROM range(1, 69632) t(i) WHERE i NOT BETWEEN 55296 AND 57343").fetchall())
+    assert {r.c: r.u for r in got if r.u != want[r.c]} == {}
+    assert one(spark, "ßa", lambda c: wikitext.url(c, "")) == "ẞa"
+
+
 def test_mentions(spark):
     df = spark.createDataFrame([("Paris,", 6), ("U.S.", 4), ("etc..", 5), ("1.5", 3)], "s string, e long")
     surface, end = mentions.normalised(F.col("s"), F.col("e"))
