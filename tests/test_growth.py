@@ -44,7 +44,7 @@ def test_mentions_found_as_a_whole(spark):
     assert not re.search(r"split\([^,()]*, +, -1\)", plan(got))
 
 
-@pytest.mark.parametrize("name", ["graph_degree", "graph_directed_degree"])
+@pytest.mark.parametrize("name", ["graph_edges", "graph_degree", "graph_directed_degree"])
 def test_nothing_moves(spark, tmp_path, name):
     """What is made of a sentence is made where the sentence is."""
     spark.createDataFrame([(1, "Un Roi de France vit. Il dort.")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
