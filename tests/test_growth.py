@@ -5,6 +5,7 @@ import re
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from textloom.operators import graph, mentions
@@ -44,7 +45,7 @@ def test_mentions_found_as_a_whole(spark):
     assert not re.search(r"split\([^,()]*, +, -1\)", plan(got))
 
 
-@pytest.mark.parametrize("name", ["graph_edges", "graph_degree", "graph_directed_degree"])
+@pytest.mark.parametrize("name", ["graph_contracted", "graph_degree", "graph_directed_degree", "graph_edges", "graph_unsigned", "lca_paths", "span_find"])
 def test_nothing_moves(spark, tmp_path, name):
     """What is made of a sentence is made where the sentence is."""
     spark.createDataFrame([(1, "Un Roi de France vit. Il dort.")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
@@ -80,3 +81,21 @@ def test_edges_of_sentences(spark, monkeypatch):
     assert sorted(map(tuple, graph.degrees_of(graph.packed(tokens, "a", "b"), "a", "b").collect())) == near(set(want))
     got = graph.directed_degrees(tokens, "a", "b").collect()
     assert {(r.a, r.b, r.node): (r.in_degree, r.out_degree) for r in got} == {n: tuple(sum(x[:2] == n[:2] and x[i] == n[2] for x in arcs) for i in (3, 2)) for n in nodes}
+
+
+def test_nodes_and_signs_of_sentences(spark):
+    """Packed sentences against the forms that join token rows; spans overlap and reach beyond the sentence."""
+    r = random.Random(11)
+    rows = [(f"s{k}", i, r.choice("aab"), r.choice([0, 1, 3, i]), r.choice(["punct", "dep"])) for k in range(50) for i in sorted(r.sample(range(1, 9), r.randint(1, 7)))]
+    spans = [(f"s{k}", a, a + r.randint(0, 3)) for k in range(0, 60, 2) for a in r.sample(range(0, 9), r.randint(1, 3))]
+    tokens = spark.createDataFrame(rows, "k string, idx long, word string, head long, rel string")
+    found = spark.createDataFrame(spans, "k string, first long, last long")
+    packed = graph.packed(tokens.drop("rel"), "k").join(found.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "k", "left")
+    nodes = graph.contracted(tokens, found, "k")
+    got = {x.k: list(zip(x.ids, x.nodes)) for x in graph.with_nodes(packed).collect()}
+    assert got == {k: sorted((x.idx, x.node) for x in nodes.collect() if x.k == k) for k in got}
+    want = {(x.k, x.u, x.v): x.weight for x in graph.contracted_edges(nodes, "k").collect()}
+    assert want and {(x.k, x.u, x.v): x.weight for x in graph.contracted_edges_of(packed, "k").collect()} == want
+    rels = tokens.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("idx", "head", "word", "rel"))).alias("p"))
+    trees = rels.select("k", F.col("p.idx").alias("ids"), F.col("p.head").alias("heads"), F.col("p.word").alias("words"), F.col("p.rel").alias("rels"))
+    assert sorted(map(tuple, graph.without_signs_of(trees, "k").collect())) == sorted((x.k, x.idx, x.head) for x in graph.without_signs(tokens, "k").collect())
