@@ -45,7 +45,7 @@ def test_mentions_found_as_a_whole(spark):
     assert not re.search(r"split\([^,()]*, +, -1\)", plan(got))
 
 
-@pytest.mark.parametrize("name", ["graph_contracted", "graph_degree", "graph_directed_degree", "graph_edges", "graph_unsigned", "lca_paths", "span_find"])
+@pytest.mark.parametrize("name", ["graph_centrality", "graph_contracted", "graph_degree", "graph_directed_degree", "graph_edges", "graph_unsigned", "lca_paths", "sdp_path", "span_find"])
 def test_nothing_moves(spark, tmp_path, name):
     """What is made of a sentence is made where the sentence is."""
     spark.createDataFrame([(1, "Un Roi de France vit. Il dort.")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
@@ -99,3 +99,28 @@ def test_nodes_and_signs_of_sentences(spark):
     rels = tokens.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("idx", "head", "word", "rel"))).alias("p"))
     trees = rels.select("k", F.col("p.idx").alias("ids"), F.col("p.head").alias("heads"), F.col("p.word").alias("words"), F.col("p.rel").alias("rels"))
     assert sorted(map(tuple, graph.without_signs_of(trees, "k").collect())) == sorted((x.k, x.idx, x.head) for x in graph.without_signs(tokens, "k").collect())
+
+
+def test_batches_of_graphs(spark, monkeypatch):
+    """Centralities and lightest paths of many sentences at once, against one graph at a time; shapes repeat, and weights may be no multiples of a billionth."""
+    monkeypatch.setattr(graph, "CELLS", 40)
+    r = random.Random(12)
+    for weights in ((0.2, 1.0), (0.2, 0.3, 1 / 3)):
+        edges = [[(u, v, r.choice(weights)) for u in range(1, 7) for v in range(u + 1, 7) if r.random() < 0.4] for _ in range(30)]
+        edges += [[(u * 5, v * 5, w) for u, v, w in e] for e in edges[:15]]
+        asks = [[(f"{k}-{i}", r.choice([None, 1, 2, 3, 5]), r.choice([1, 4, 5, 6, 9])) for i in range(r.randint(0, 4))] for k in range(len(edges))]
+        rows = spark.createDataFrame(list(zip(range(len(edges)), edges, asks)), "k long, edges array<struct<u: long, v: long, weight: double>>, asks array<struct<pair: string, a: long, b: long>>").coalesce(1)
+        got = {(x.k, x.node): (x.betweenness, x.eigenvector) for x in graph.centralities(rows, "k").collect()}
+        want = {}
+        for k, e in enumerate(edges):
+            if e:
+                nodes, *arcs = graph._arcs(*zip(*e))
+                want |= {(k, n): x for n, *x in zip(nodes.tolist(), graph._betweenness(*arcs).tolist(), graph._eigenvector(*arcs[:2]).tolist())}
+        assert got.keys() == want.keys() and all(abs(got[n][i] - want[n][i]) < 2e-6 for n in want for i in (0, 1))
+        ways = {}
+        for e, some in zip(edges, asks):
+            near = graph._graph(*zip(*e)) if e else {}
+            for pair, a, b in some:
+                p = graph._lightest(near, a, b) if a in near and b in near else None
+                ways[pair] = (p[1:-1], round(sum(near[x][y] for x, y in zip(p, p[1:])), 6)) if p else (None, None)
+        assert {x.pair: (x.nodes, x.cost) for x in graph.shortest_paths(rows, "k").collect()} == ways
