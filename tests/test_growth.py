@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from textloom.operators import graph, mentions
+from textloom.operators import graph, mentions, trees
 from textloom.plans import base
 
 
@@ -124,3 +124,24 @@ def test_batches_of_graphs(spark, monkeypatch):
                 p = graph._lightest(near, a, b) if a in near and b in near else None
                 ways[pair] = (p[1:-1], round(sum(near[x][y] for x, y in zip(p, p[1:])), 6)) if p else (None, None)
         assert {x.pair: (x.nodes, x.cost) for x in graph.shortest_paths(rows, "k").collect()} == ways
+
+
+def test_depth(spark):
+    """Climbs that know where to end, against those that don't: trees, rings, gaps and heads that are not there."""
+    r = random.Random(13)
+    rows = [(k, i, r.choice([0, i // 2, r.randint(0, 9)]), f"w{i}") for k in range(60) for i in sorted(r.sample(range(1, 9), r.randint(2, 8)))]
+    packed = trees.trees(spark.createDataFrame(rows, "k long, idx long, head long, word string"), "k").withColumn("a", F.element_at("ids", 1)).withColumn("b", F.element_at("ids", -1))
+    deep = graph.with_depth(packed)
+    assert sorted(map(tuple, trees.branches(deep, "a", "b").drop("depth").collect())) == sorted(map(tuple, trees.branches(packed, "a", "b").collect()))
+    chain = spark.createDataFrame([(1, list(range(1, 301)), [max(0, 1 << (i.bit_length() - 1) if i & (i - 1) else i // 2) for i in range(1, 301)])], "k long, ids array<long>, heads array<long>")
+    assert graph.with_depth(chain).first().depth == 9
+
+
+@pytest.mark.parametrize("name", ["features_xu", "features_ours"])
+def test_a_sentence_moves_once(spark, tmp_path, name):
+    """Mentions and sentences are dealt by sentence; neither tokens, edges, paths nor feature rows are."""
+    spark.createDataFrame([(1, "Un Roi de France vit. Il Dort.")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "roi de france")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)", plan(__spark_entry__.queries()[name](spark, str(tmp_path))))
+    dealt = [re.sub(r"#\d+L?", "", x) for x in dealt]
+    assert set(dealt) - {"lemma, 4"} == {"doc_id, pos, 4"} and len(dealt) < 4  # and the links, by lemma
